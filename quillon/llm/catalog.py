@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import quality_rules, sharding
+from quillon.llm import byte_cnn, exact_dedup, mixing, piece_codec, quality_rules, sharding
 from quillon.llm._shared import documents
 
 
@@ -16,15 +16,46 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(documents(spark, sf_dir))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def piece_model() -> str:
+    """Where the public 32k model file lies; every caller may name another."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(documents(spark, sf_dir), piece_model(), keep_ids=False)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return byte_cnn.classify(docs, byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_exact_dedup": op2_exact_dedup,
     "op6_sharding": op6_sharding,
+    "op7_piece_codec": op7_piece_codec,
+    "op8_mixing": op8_mixing,
+    "op10_byte_cnn": op10_byte_cnn,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
+    "op8_mixing": mixing.ORACLE_SQL,
 }
