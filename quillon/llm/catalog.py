@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import byte_cnn, exact_dedup, mixing, piece_codec, quality_rules, sharding
+from quillon.llm import byte_cnn, exact_dedup, jaccard_join, mixing, piece_codec, quality_rules, sharding, toxicity, warc
 from quillon.llm._shared import documents
 
 
@@ -21,6 +21,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.grade(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -40,6 +49,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = warc.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.digest_columns(warc.resolve(crawl, carry=("payload_bytes", "payload_sha256")))
+
+
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return byte_cnn.classify(docs, byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -48,9 +62,12 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
     "op7_piece_codec": op7_piece_codec,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
     "op10_byte_cnn": op10_byte_cnn,
 }
 
@@ -58,4 +75,5 @@ ORACLE: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }
