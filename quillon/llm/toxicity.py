@@ -4,8 +4,8 @@ Grades 0 to TOP are ordered. One weight vector gives every text a score s, and o
 P(grade <= k) = sigmoid(threshold_k - s). All thresholds share the weights, so a word that raises the chance of
 grade 1 raises that of grades 2 and 3 too. The output is the expected grade, the sum of P(grade > k).
 
-Labels say toxic or not. Among toxic training rows the grade is the third in which the density of marked words
-falls: marked words are those that occur in at least MARKED_ROWS training rows, nearly all of them toxic.
+Labels say toxic or not. Among toxic training rows the grade is the third in which their number of marked words
+falls: marked words have a key (below) that occurs in at least MARKED_ROWS training rows, nearly all of them toxic.
 
 Features are words and word beginnings of 3 to 8 characters (insults of inflected languages share a root), each
 at the LEVELS "occurs once, twice, four times or more". The FEATURES of them whose occurrence differs most between
@@ -150,21 +150,20 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            had, dense = [], []
+            had, counts = [], []
             for raw in batch.column(2).to_pylist():
                 seen = occurrences(raw)
                 had.append([i for i, (k, level) in enumerate(features) if seen.get(k, 0) >= level])
-                words = tokens(raw)
-                dense.append(sum(any(k in marked for k in keys(w)) for w in words) / max(1, len(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dense, pa.float64()), pa.array(had, pa.list_(pa.int32()))], ["at", "toxic", "density", "has"])
+                counts.append(sum(any(k in marked for k in keys(w)) for w in tokens(raw)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(had, pa.list_(pa.int32()))], ["at", "toxic", "marks", "has"])
 
-    sample = sorted(rows.mapInArrow(vectors, "at long, toxic int, density double, has array<int>").collect(), key=lambda r: (r.at, r.toxic))
+    sample = sorted(rows.mapInArrow(vectors, "at long, toxic int, marks long, has array<int>").collect(), key=lambda r: (r.at, r.toxic))
     x = np.zeros((len(sample), len(features)), np.float32)
     for i, r in enumerate(sample):
         x[i, r.has] = 1
-    toxic, density = np.array([r.toxic for r in sample]), np.array([r.density for r in sample])
-    marks = np.quantile(density[toxic == 1], [1 / 3, 2 / 3])
-    level = np.where(toxic == 1, 1 + np.searchsorted(marks, density, side="left"), 0)
+    toxic, marks = np.array([r.toxic for r in sample]), np.array([r.marks for r in sample])
+    thirds = np.quantile(marks[toxic == 1], [1 / 3, 2 / 3])
+    level = np.where(toxic == 1, 1 + np.searchsorted(thirds, marks, side="left"), 0)
     return Severity(features, *fit_ordinal(x, level))
 
 
