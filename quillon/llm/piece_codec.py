@@ -22,6 +22,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +38,11 @@ class PieceTable:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: dict[int, int], control: frozenset[int], bos: int, eos: int, unk: int):
         self.pieces, self.byte_ids, self.control = pieces, byte_ids, control
         self.bos, self.eos, self.unk = bos, eos, unk
+        #: The two tokens whose merge makes a piece, or None; filled on the driver, so that workers start with it.
+        self.made: dict[str, tuple[str, str] | None] = {}
 
     @classmethod
+    @cache
     def from_model(cls, path: str) -> PieceTable:
         """Read a model file; ValueError if it is not BPE with byte fallback over unnormalised text with a space put before it."""
         import sentencepiece
@@ -68,10 +72,7 @@ class Codec:
         import ahocorasick
 
         self.table = table
-        self.automaton = ahocorasick.Automaton()
-        for piece in table.pieces:
-            self.automaton.add_word(piece, len(piece))
-        self.automaton.make_automaton()
+        self.span = 1 + max((i for i, _ in table.pieces.values()), default=0)
         self.by_id = {i: p for p, (i, _) in table.pieces.items()}
         self.by_byte = {i: b for b, i in table.byte_ids.items()}
         inside = {c for p in table.pieces for c in p}
@@ -86,9 +87,13 @@ class Codec:
         for _, score in table.pieces.values():
             counts[score] = counts.get(score, 0) + 1
         self.tied = {c for score, chars in tied.items() if counts[score] > 1 for c in chars}
-        self.made: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for piece, (i, _) in table.pieces.items():
+            if len(piece) == 1 or self.halves(piece):  # merging never makes the others
+                self.automaton.add_word(piece, (i, len(piece)))
+        self.automaton.make_automaton()
 
     # -- merging, for short strings and for stretches with tied pieces
 
@@ -127,12 +132,12 @@ class Codec:
         return [s for s in symbols if s is not None], last
 
     def halves(self, piece: str) -> tuple[str, str] | None:
-        """The two tokens whose merge makes piece; None for a character, and for a piece that merging never makes."""
-        found = self.made.get(piece, 0)
-        if found == 0:
+        """The two tokens whose merge makes piece; None for a character and for a piece that merging never makes."""
+        made = self.table.made
+        if piece not in made:
             symbols, last = self.merged(piece)
-            found = self.made[piece] = last if len(symbols) == 1 else None
-        return found
+            made[piece] = last if len(symbols) == 1 else None
+        return made[piece]
 
     def when(self, token: str) -> float:
         """The time of the merge that makes a token: better scores come first, characters are there from the start."""
@@ -140,14 +145,6 @@ class Codec:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging left + right keeps the border between the two tokens."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= 2 * REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._stands(left, right)
-        return known
-
-    def _stands(self, left: str, right: str) -> bool:
         # Going back in time, (left, right) face each other over the border until the later one is taken apart.
         # `until` is when they stopped doing so; of merges at one time, the one further left comes first.
         until, left_moved = float("inf"), True
@@ -169,30 +166,39 @@ class Codec:
 
     # -- encoding
 
-    def tokens(self, stretch: str) -> list[str]:
-        """The tokens of a stretch, by the prefix table."""
+    def ids(self, stretch: str) -> list[int]:
+        """The ids of a stretch, by the prefix table."""
         tied = self.tied
         if any(a in tied and b in tied for a, b in zip(stretch, stretch[1:], strict=False)):
-            return self.merged(stretch)[0]
-        ends: list[list[int]] = [[1] for _ in stretch]
-        for end, length in self.automaton.iter(stretch):
-            if length > 1:
-                ends[end].append(length)
-        last = [""] * (len(stretch) + 1)
-        for end, lengths in enumerate(ends, 1):
-            for length in lengths:
-                token = stretch[end - length : end]
-                start = end - length
-                if (length == 1 or self.halves(token) is not None) and (start == 0 or self.compatible(last[start], token)):
-                    last[end] = token
-                    break
+            return self._ids_of(self.merged(stretch)[0])
+        # last[n] is the last token of the first n characters' encoding; -1 stands for a character without a piece
+        last, sizes = [-1] * (len(stretch) + 1), [1] * (len(stretch) + 1)
+        pairs, span, found = self.pairs, self.span, -1
+        for end, (token, size) in self.automaton.iter(stretch):
+            if end == found:
+                continue
+            before = last[end + 1 - size] if end + 1 > size else -1
+            if before >= 0:
+                pair = before * span + token
+                stands = pairs.get(pair)
+                if stands is None:
+                    if len(pairs) >= 2 * REMEMBERED:
+                        pairs.clear()
+                    stands = pairs[pair] = self.compatible(self.by_id[before], self.by_id[token])
+                if not stands:
+                    continue
+            last[end + 1], sizes[end + 1], found = token, size, end
         out, end = [], len(stretch)
         while end:
-            out.append(last[end])
-            end -= len(last[end])
+            token = last[end]
+            if token >= 0:
+                out.append(token)
+            else:
+                out.extend(self.table.byte_ids[b] for b in reversed(stretch[end - 1].encode("utf-8")))
+            end -= sizes[end]
         return out[::-1]
 
-    def ids_of(self, tokens: list[str]) -> list[int]:
+    def _ids_of(self, tokens: list[str]) -> list[int]:
         out: list[int] = []
         for t in tokens:
             found = self.table.pieces.get(t)
@@ -220,7 +226,7 @@ class Codec:
         return ends(self.table.bos) + body + ends(self.table.eos), said[1:] if said.startswith(" ") else said
 
     def _remember(self, stretch: str) -> tuple[bytes, str]:
-        ids = self.ids_of(self.tokens(stretch))
+        ids = self.ids(stretch)
         value = (struct.pack(f"<{len(ids)}I", *ids), self._joined(ids))
         if len(stretch) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
