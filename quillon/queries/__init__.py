@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.queries import learning, vectors
+from quillon.queries import clustering, learning, vectors
 from quillon.queries._registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "learning", "vectors"]
+__all__ = ["ORACLE", "QUERIES", "clustering", "learning", "vectors"]
