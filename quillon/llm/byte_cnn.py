@@ -226,21 +226,22 @@ def classify(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text
 
     The score reads every byte of the text; a null or empty text is all padding and scores what that gives.
     """
-    tables, names = net.tables(), df.columns
+    tables = net.tables()
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
     kept = [key, *(c for c in carry if c != key)]
-    assert all(c in names for c in kept)
+    sent = kept if text in kept else [*kept, text]
+    at_text = sent.index(text)
     schema = ", ".join(f"`_c{i}` {kind[c]}" for i, c in enumerate(kept)) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at_text)
             scores = []
             for at in range(0, len(texts), 256):
                 scores += [score(net, (t or "").encode("utf-8"), tables) for t in texts.slice(at, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*(f"_c{i}" for i in range(len(kept))), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], [*(f"_c{i}" for i in range(len(kept))), "score"])
 
-    scored = df.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)), F.col(text).alias("_text")).mapInArrow(run, schema)
+    scored = df.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(sent))).mapInArrow(run, schema)
     return scored.select(
         F.col("_c0").alias(key),
         held_out(F.col("_c0")).alias("held_out"),

@@ -63,6 +63,12 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(docs, byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_byte_cnn": op10_byte_cnn,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {

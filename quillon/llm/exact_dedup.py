@@ -76,17 +76,23 @@ def normalised(text: Column) -> Column:
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hash, text) -> (uid, key, entry, hash, text): the first row of each text in a batch carries it, the others null."""
+    """(key, hash, normalised text, raw text, others) -> (uid, key, entry, hash, raw text, others).
+
+    entry is the uid of the first row in the batch with the same normalised text. Without other columns only
+    these rows carry their text.
+    """
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
-        texts = batch.column(2).to_pylist()
         entry_of: dict[str, int] = {}
-        uids = list(range(uid, uid + len(texts)))
-        entries = [entry_of.setdefault(t, u) for t, u in zip(texts, uids, strict=True)]
-        first = pa.array([e == u for e, u in zip(entries, uids, strict=True)], pa.bool_())
-        text = pa.compute.if_else(first, batch.column(2), pa.scalar(None, batch.column(2).type))
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), batch.column(0), pa.array(entries, pa.int64()), batch.column(1), text.cast(pa.string())], ["uid", "id", "entry", "hash", "text"])
-        uid += len(texts)
+        uids = list(range(uid, uid + batch.num_rows))
+        entries = [entry_of.setdefault(t, u) for t, u in zip(batch.column(2).to_pylist(), uids, strict=True)]
+        raw = batch.column(3)
+        if batch.num_columns == 4:
+            first = pa.array([e == u for e, u in zip(entries, uids, strict=True)], pa.bool_())
+            raw = pa.compute.if_else(first, raw, pa.scalar(None, raw.type))
+        others = list(batch.columns[4:])
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), batch.column(0), pa.array(entries, pa.int64()), batch.column(1), raw, *others], ["uid", "id", "entry", "hash", "raw", *(f"c{i}" for i in range(len(others)))])
+        uid += batch.num_rows
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,29 +117,24 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, hash_of: Column | None = None) -> DataFrame:
-    """key, keep_id, group_size, kept, text_sha256, bucket for every row of df, dropped ones too.
-
-    Texts are equal when the same after each run of white space becomes one space; null counts as empty. Of
-    equal texts the row with the smallest key stays; null keys come last, and of rows that agree in key and
-    text one stays. text_sha256 is of the normalised text in UTF-8. Other columns of df are not read. An empty
-    table gives no rows. hash_of replaces the 64-bit hash of the column `text` (tests use it to force collisions).
-    """
+def _answers(df: DataFrame, key: str, text: str, capacity: int, hash_of: Column | None, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The stored rows (uid, id, entry, hash, raw, carried columns) and each entry's answer."""
     spark = df.sparkSession
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), normalised(F.col(text)).alias("text"))
-    rows = rows.select("id", (F.xxhash64("text") if hash_of is None else hash_of).alias("hash"), "text")
-    rows = stored(rows.mapInArrow(_combine, f"uid long, id {kind}, entry long, hash long, text string"), "dedup-rows")
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = df.select(F.col(key).alias("id"), normalised(F.col(text)).alias("text"), F.col(text).cast("string").alias("raw"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    rows = rows.select("id", (F.xxhash64("text") if hash_of is None else hash_of).alias("hash"), "text", "raw", *(f"c{i}" for i in range(len(carry))))
+    schema = ", ".join([f"uid long, id {kind[key]}, entry long, hash long, raw string", *(f"c{i} {kind[c]}" for i, c in enumerate(carry))])
+    rows = stored(rows.mapInArrow(_combine, schema), "dedup-rows")
 
     cell = F.shiftrightunsigned("hash", 64 - MAX_DEPTH)
-    entries = rows.where(F.col("text").isNotNull())
+    entries = rows.where(F.col("uid") == F.col("entry"))
     cells = entries.select("hash").distinct().groupBy(cell.alias("cell")).count()
     directory = Directory.of({r["cell"]: r["count"] for r in cells.collect()}, capacity)
     span = 1 << (MAX_DEPTH - directory.depth)
     pointers = spark.createDataFrame([(a, b) for a, b in enumerate(directory.pointers)], "address long, bucket int")
 
     owned = (
-        entries.withColumn("address", F.floor(cell / span).cast("long"))
+        entries.select("hash", "entry", normalised(F.col("raw")).alias("text"), F.floor(cell / span).cast("long").alias("address"))
         .join(F.broadcast(pointers), "address")  # 2**MAX_DEPTH rows at most
         .select("bucket", "hash", "entry", "text")
         .repartition("bucket")
@@ -145,7 +146,18 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", capacity
     heads = rows.groupBy("entry").agg(best.alias("head"), F.count(F.lit(1)).alias("n"))
     named = index.join(heads, "entry")
     stays = named.groupBy("hash", "chain").agg(F.min("head").alias("stays"), F.sum("n").alias("group_size"))
-    answer = named.join(stays, ["hash", "chain"]).select("entry", "bucket", "stays", "group_size", "text_sha256")
+    return rows, named.join(stays, ["hash", "chain"]).select("entry", "bucket", "stays", "group_size", "text_sha256")
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, hash_of: Column | None = None) -> DataFrame:
+    """key, keep_id, group_size, kept, text_sha256, bucket for every row of df, dropped ones too.
+
+    Texts are equal when the same after each run of white space becomes one space; null counts as empty. Of
+    equal texts the row with the smallest key stays; null keys come last, and of rows that agree in key and
+    text one stays. text_sha256 is of the normalised text in UTF-8. Other columns of df are not read. An empty
+    table gives no rows. hash_of replaces the 64-bit hash of the column `text` (tests use it to force collisions).
+    """
+    rows, answer = _answers(df, key, text, capacity, hash_of, [])
     return (
         rows.select("uid", "id", "entry")
         .join(answer, "entry")
@@ -160,6 +172,15 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", capacity
     )
 
 
+def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """The rows of df that deduplicate() keeps, with all their columns."""
+    others = [c for c in df.columns if c not in (key, text)]
+    rows, answer = _answers(df, key, text, capacity, None, others or [key])
+    stay = answer.select(F.col("stays.uid").alias("uid")).distinct()
+    names = {key: F.col("id"), text: F.col("raw")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    return rows.join(stay, "uid", "left_semi").select(*(names[c].alias(c) for c in df.columns))
+
+
 ORACLE_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

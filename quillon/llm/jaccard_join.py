@@ -47,10 +47,10 @@ def banding(threshold: float, recall: float, most_hashes: int = 80) -> tuple[int
     """
     found = None
     for rows in range(1, most_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= most_hashes:
             found = (bands, rows)
-    return found or (math.ceil(math.log(1 - recall) / math.log(1 - threshold)), 1)
+    return found or (math.ceil(math.log(1 - recall) / math.log1p(-threshold)), 1)
 
 
 _WORDS: dict[bytes, int] = {}
@@ -103,7 +103,7 @@ def band_hashes(found: np.ndarray, bands: int, rows: int) -> list[int]:
     return folded.view(np.int64).tolist()
 
 
-def _sign(n: int, bands: int, rows: int):
+def _sign(n: int, bands: int, rows: int, all_texts: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -125,11 +125,11 @@ def _sign(n: int, bands: int, rows: int):
                     counts.append(size)
                     names.append(name if entry == uid else None)
                     banded.append(band_hashes(found, bands, rows) if entry == uid and size else None)
-                    texts.append(text if entry == uid and size else None)
+                    texts.append(text if all_texts or (entry == uid and size) else None)
                     uid += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids, pa.int64()), part.column(0), pa.array(entries, pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(texts, pa.string())],
-                    ["uid", "id", "entry", "name", "n_grams", "bands", "text"],
+                    [pa.array(uids, pa.int64()), part.column(0), pa.array(entries, pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(texts, pa.string()), *part.columns[2:]],
+                    ["uid", "id", "entry", "name", "n_grams", "bands", "text", *(f"c{i}" for i in range(part.num_columns - 2))],
                 )
 
     return run
@@ -261,10 +261,33 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     Sets are compared exactly, as sets of 64-bit gram hashes; a pair at the threshold itself is found with
     probability `recall`, a pair above it with more.
     """
+    _, told = _classes(df, key, text, threshold, n, recall, [])
+    return told.select(
+        F.col("id").alias(key),
+        F.col("stays.id").alias("class_id"),
+        F.col("class_size").cast("long").alias("class_size"),
+        F.col("links").cast("long").alias("links"),
+        F.col("text_links").cast("long").alias("text_links"),
+        (F.col("uid") == F.col("stays.uid")).alias("kept"),
+    )
+
+
+def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """One row of df for each class of join(), the one with the smallest key, with all its columns."""
+    others = [c for c in df.columns if c not in (key, text)]
+    rows, told = _classes(df, key, text, threshold, n, recall, others or [key])
+    stay = told.select(F.col("stays.uid").alias("uid")).distinct()
+    names = {key: F.col("id"), text: F.col("text")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    return rows.join(stay, "uid", "left_semi").select(*(names[c].alias(c) for c in df.columns))
+
+
+def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recall: float, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The stored rows, with the carried columns, and for each row (uid, id, entry, stays, class_size, links, text_links)."""
     bands, rows_ = banding(threshold, recall)
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"uid long, id {kind}, entry long, name binary, n_grams long, bands array<bigint>, text string"
-    rows = stored(df.select(key, text).mapInArrow(_sign(n, bands, rows_), schema), "jaccard-rows")
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([f"uid long, id {kind[key]}, entry long, name binary, n_grams long, bands array<bigint>, text string", *(f"c{i} {kind[c]}" for i, c in enumerate(carry))])
+    taken = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    rows = stored(taken.mapInArrow(_sign(n, bands, rows_, bool(carry)), schema), "jaccard-rows")
 
     counts = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
     entries = rows.where("name is not null and n_grams > 0").select("entry", "name", "n_grams").join(counts, "entry")
@@ -290,7 +313,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
         F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
         F.when(F.col("block") == F.col("other"), WITHIN).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
     )
-    texts = rows.where("text is not null").select(F.col("uid").alias("rep"), "text")
+    texts = rows.where("name is not null and n_grams > 0").select(F.col("uid").alias("rep"), "text")
     checked = dealt.join(texts, "rep").select("unit", "side", "rep", "weight", "text").repartition("unit").sortWithinPartitions("unit", "side", "rep")
     told = stored(checked.mapInArrow(_verify(n, threshold), "rep long, root long, links long, text_links long"), "jaccard-links")
 
@@ -314,11 +337,4 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     alone = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     with_grams = rows.where("n_grams > 0").select("uid", "id", "entry").join(settled, "entry")
     without = rows.where("n_grams = 0").select("uid", "id", "entry", alone.alias("stays"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("text_links"))
-    return with_grams.select(without.columns).union(without).select(
-        F.col("id").alias(key),
-        F.col("stays.id").alias("class_id"),
-        F.col("class_size").cast("long").alias("class_size"),
-        F.col("links").cast("long").alias("links"),
-        F.col("text_links").cast("long").alias("text_links"),
-        (F.col("uid") == F.col("stays.uid")).alias("kept"),
-    )
+    return rows, with_grams.select(without.columns).union(without)

@@ -120,10 +120,16 @@ def mix(
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     carried = [c for c in carry if c not in (key, source)]
-    sized = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.size(words(F.col(text))).cast("long").alias("size"), digest.alias("_digest"), F.struct(*carried).alias("_carried") if carried else F.lit(None).alias("_carried"))
-    if not carried:
-        sized = sized.drop("_carried")
-    sized = stored(sized, "mix-sizes").withColumn("_run", F.substring("_digest", 1, RUN_DIGITS))
+    measured = df.select(
+        F.monotonically_increasing_id().alias("_uid"),
+        F.col(key).alias("_key"),
+        F.col(source).alias("_source"),
+        F.size(words(F.col(text))).cast("long").alias("size"),
+        digest.alias("_digest"),
+        *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)),
+    )
+    measured = stored(measured, "mix-rows")
+    sized = measured.select("_uid", "_key", "_source", "size", "_digest").withColumn("_run", F.substring("_digest", 1, RUN_DIGITS))
 
     sums = sized.groupBy("_source", "_run").agg(F.sum("size").alias("_words"))
     totals = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
@@ -155,6 +161,8 @@ def mix(
 
     draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda p: draw(p)), lambda d: d["words"] > 0)
     drawn = placed.withColumn("draws", draws)
+    if carried:
+        drawn = drawn.join(measured.select("_uid", *(f"_c{i}" for i in range(len(carried)))), "_uid")
     return drawn.select(
         F.col("_key").alias(key),
         F.col("_source").alias(source),
@@ -163,12 +171,12 @@ def mix(
         "target",
         F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"),
         "draws",
-        *(F.col(f"_carried.{c}").alias(c) for c in carried),
+        *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)),
     )
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixture itself: the columns of each row as often as it is taken, in shards, shuffled inside each."""
+    """The mixture itself: the columns of each row as often as it is taken, with its shard and its place in there."""
     rows = mixed.select("*", F.explode("draws").alias("_draw"))
     return rows.select(*columns, F.col("_draw.shard").alias("shard"), F.col("_draw.place").alias("place"), F.col("_draw.words").alias("words"))
 

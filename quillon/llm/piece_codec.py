@@ -24,8 +24,11 @@ import struct
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Stretches that a worker remembers before it starts afresh, and their greatest length in characters.
@@ -284,7 +287,7 @@ def _codec(table: PieceTable, tag: int) -> Codec:
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids (array) and decoded (string) of whole texts.
+    """key, n_tokens, ids_sha256, decoded_sha256 of whole texts and, with keep_ids, the ids (array).
 
     A null text is the empty text, whose ids are begin and end alone. One row for each row of df; other columns
     are not read. The vocabulary (some 32,000 pieces, about 1 MB) is broadcast; its size does not follow the data.
@@ -296,7 +299,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", k
     name = df.schema[key]
     schema = f"`{key}` {name.dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
-        schema += ", ids array<int>, decoded string"
+        schema += ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _codec(shared.value, tag).both
@@ -312,8 +315,23 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", k
                 ]
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array([struct.unpack(f"<{len(ids) // 4}i", ids) for ids, _ in found], pa.list_(pa.int32())), pa.array([said for _, said in found], pa.string())]
-                    names += ["ids", "decoded"]
+                    upto = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)], dtype=np.int32)
+                    flat = np.frombuffer(b"".join([ids for ids, _ in found]), "<i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(flat)))
+                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return df.select(key, text).mapInArrow(run, schema)
+
+
+def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the text that an array of ids stands for; null for null."""
+    shared = df.sparkSession.sparkContext.broadcast(PieceTable.from_model(model))
+    tag = hash((model, len(shared.value.pieces)))
+
+    @F.pandas_udf("string")
+    def said(column: pd.Series) -> pd.Series:
+        codec = _codec(shared.value, tag)
+        return column.map(lambda x: None if x is None else codec.decode([int(i) for i in x]))
+
+    return df.withColumn(out, said(F.col(ids)))

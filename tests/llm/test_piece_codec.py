@@ -53,7 +53,7 @@ def test_compatibility_against_merging():
 def test_rows(spark, library):
     texts = [None, "", " ", "plain text", "plain text", "x" * 100_000]
     df = spark.createDataFrame([("q", i, t, 0) for i, t in enumerate(texts)] + [("q", None, "no key", 0)], "ids string, doc_id long, text string, n_tokens int")
-    found = p.encode(df, MODEL).collect()
+    found = p.decode(p.encode(df, MODEL), MODEL).collect()
     assert len(found) == 7
     for r in found:
         text = "no key" if r.doc_id is None else texts[r.doc_id] or ""
