@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.queries import clustering, embedding, learning, markov, vectors
+from quillon.queries import bio, clustering, embedding, learning, markov, vectors
 from quillon.queries._registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "clustering", "embedding", "learning", "markov", "vectors"]
+__all__ = ["ORACLE", "QUERIES", "bio", "clustering", "embedding", "learning", "markov", "vectors"]
