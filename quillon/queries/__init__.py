@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.queries import bio, clustering, embedding, learning, markov, mining, network, vectors
+from quillon.queries import bio, clustering, embedding, learning, markov, mining, network, sources, streams, vectors
 from quillon.queries._registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "bio", "clustering", "embedding", "learning", "markov", "mining", "network", "vectors"]
+__all__ = ["ORACLE", "QUERIES", "bio", "clustering", "embedding", "learning", "markov", "mining", "network", "sources", "streams", "vectors"]
