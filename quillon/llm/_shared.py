@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark hands to a Python worker at a time while a stored table is made: texts may be long.
+ARROW_ROWS = 1_000
+ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: White space that separates words, inside a Java character class and as the class itself.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -52,10 +58,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    While it is written Arrow batches hold ARROW_ROWS rows at most; the session's own setting is put back.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_CONF)
+    spark.conf.set(ARROW_CONF, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,3 +79,20 @@ def clear_of(names: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, giving memory that it has freed back to the system at its end: a Python worker outlives its tasks."""
+
+    def tidy(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own counsel
+            pass
+
+    return tidy

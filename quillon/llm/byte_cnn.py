@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm._shared import tidied
+
 #: Filter width and step in bytes, bytes in a segment (a chunk is two), filters, numbers in a byte's vector.
 WIDTH, STRIDE, SEGMENT, FILTERS, VECTOR = 8, 2, 256, 24, 8
 #: Bytes that must agree for an echo, and the greatest distance at which they are looked for.
@@ -241,7 +243,7 @@ def classify(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text
                 scores += [score(net, (t or "").encode("utf-8"), tables) for t in texts.slice(at, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], [*(f"_c{i}" for i in range(len(kept))), "score"])
 
-    scored = df.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(sent))).mapInArrow(run, schema)
+    scored = df.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(sent))).mapInArrow(tidied(run), schema)
     return scored.select(
         F.col("_c0").alias(key),
         held_out(F.col("_c0")).alias("held_out"),

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import SPACE, stored
+from quillon.llm._shared import SPACE, stored, tidied
 
 #: Leading key bits that the directory may use: it has 2**MAX_DEPTH pointers at most. Buckets at that depth grow
 #: beyond the capacity instead of splitting, and stay exact.
@@ -124,7 +124,7 @@ def _answers(df: DataFrame, key: str, text: str, capacity: int, hash_of: Column
     rows = df.select(F.col(key).alias("id"), normalised(F.col(text)).alias("text"), F.col(text).cast("string").alias("raw"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     rows = rows.select("id", (F.xxhash64("text") if hash_of is None else hash_of).alias("hash"), "text", "raw", *(f"c{i}" for i in range(len(carry))))
     schema = ", ".join([f"uid long, id {kind[key]}, entry long, hash long, raw string", *(f"c{i} {kind[c]}" for i, c in enumerate(carry))])
-    rows = stored(rows.mapInArrow(_combine, schema), "dedup-rows")
+    rows = stored(rows.mapInArrow(tidied(_combine), schema), "dedup-rows")
 
     cell = F.shiftrightunsigned("hash", 64 - MAX_DEPTH)
     entries = rows.where(F.col("uid") == F.col("entry"))
@@ -140,7 +140,7 @@ def _answers(df: DataFrame, key: str, text: str, capacity: int, hash_of: Column
         .repartition("bucket")
         .sortWithinPartitions("bucket", "hash", "entry")
     )
-    index = stored(owned.mapInArrow(_chains, "bucket int, hash long, entry long, chain int, text_sha256 string, n_bytes long"), "dedup-index")
+    index = stored(owned.mapInArrow(tidied(_chains), "bucket int, hash long, entry long, chain int, text_sha256 string, n_bytes long"), "dedup-index")
 
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid")))
     heads = rows.groupBy("entry").agg(best.alias("head"), F.count(F.lit(1)).alias("n"))

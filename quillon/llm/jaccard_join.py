@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import stored
+from quillon.llm._shared import stored, tidied
 
 #: Members, and n-grams in all, of a block of a component.
 BLOCK_ROWS, BLOCK_GRAMS = 2_000, 4_000_000
 #: The side of a member whose block is compared with itself; 0 and 1 are the two blocks of a pair.
 WITHIN = 2
 #: Words that a worker remembers the hashes of before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 MAX = np.uint64(2**64 - 1)
 
 
@@ -287,7 +287,7 @@ def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recal
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([f"uid long, id {kind[key]}, entry long, name binary, n_grams long, bands array<bigint>, text string", *(f"c{i} {kind[c]}" for i, c in enumerate(carry))])
     taken = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
-    rows = stored(taken.mapInArrow(_sign(n, bands, rows_, bool(carry)), schema), "jaccard-rows")
+    rows = stored(taken.mapInArrow(tidied(_sign(n, bands, rows_, bool(carry))), schema), "jaccard-rows")
 
     counts = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
     entries = rows.where("name is not null and n_grams > 0").select("entry", "name", "n_grams").join(counts, "entry")
@@ -315,7 +315,7 @@ def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recal
     )
     texts = rows.where("name is not null and n_grams > 0").select(F.col("uid").alias("rep"), "text")
     checked = dealt.join(texts, "rep").select("unit", "side", "rep", "weight", "text").repartition("unit").sortWithinPartitions("unit", "side", "rep")
-    told = stored(checked.mapInArrow(_verify(n, threshold), "rep long, root long, links long, text_links long"), "jaccard-links")
+    told = stored(checked.mapInArrow(tidied(_verify(n, threshold)), "rep long, root long, links long, text_links long"), "jaccard-links")
 
     degrees = told.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     classes = components(told.select(F.col("root").alias("a"), F.col("rep").alias("b")), "jaccard-classes")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm._shared import tidied
+
 MARK = "▁"
 #: Stretches that a worker remembers before it starts afresh, and their greatest length in characters.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 48
@@ -321,7 +323,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", k
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

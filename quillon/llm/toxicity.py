@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import stored
+from quillon.llm._shared import stored, tidied
 from quillon.llm.byte_cnn import held_out
 
 TOP, FEATURES, MARKED_ROWS, MARKED_SHARE = 3, 1_024, 5, 0.9
@@ -140,7 +140,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                     held = {}
         yield told()
 
-    found = rows.mapInArrow(counted, "key string, level int, in_toxic long, n long").groupBy("key", "level").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("n").alias("n"))
+    found = rows.mapInArrow(tidied(counted), "key string, level int, in_toxic long, n long").groupBy("key", "level").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("n").alias("n"))
     share = F.col("n") / F.lit(float(n1 + n0))
     gap = F.col("in_toxic") / F.lit(float(n1)) - (F.col("n") - F.col("in_toxic")) / F.lit(float(n0))
     z = gap / F.sqrt(share * (1 - share) * F.lit(1 / n1 + 1 / n0) + F.lit(1e-12))
@@ -157,7 +157,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                 counts.append(sum(any(k in marked for k in keys(w)) for w in tokens(raw)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(had, pa.list_(pa.int32()))], ["at", "toxic", "marks", "has"])
 
-    sample = sorted(rows.mapInArrow(vectors, "at long, toxic int, marks long, has array<int>").collect(), key=lambda r: (r.at, r.toxic))
+    sample = sorted(rows.mapInArrow(tidied(vectors), "at long, toxic int, marks long, has array<int>").collect(), key=lambda r: (r.at, r.toxic))
     x = np.zeros((len(sample), len(features)), np.float32)
     for i, r in enumerate(sample):
         x[i, r.has] = 1
@@ -207,5 +207,5 @@ def grade(df: DataFrame, model: Severity, key: str = "doc_id", text: str = "text
             columns = [pa.array(above.sum(axis=1)), pa.array(chances.argmax(axis=1), pa.int32()), pa.array(above[:, 0])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_k", "severity", "grade", "score"])
 
-    told = df.select(F.col(key).alias("_k"), F.col(text).alias("_text")).mapInArrow(run, f"_k {kind}, severity double, grade int, score double")
+    told = df.select(F.col(key).alias("_k"), F.col(text).alias("_text")).mapInArrow(tidied(run), f"_k {kind}, severity double, grade int, score double")
     return told.select(F.col("_k").alias(key), held_out(F.col("_k")).alias("held_out"), "severity", "grade", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
