@@ -5,10 +5,13 @@ find such strings is not possible in bounded memory, so the work is narrowed fir
 
 1. Anchors. Each window's anchor is the GRAM-byte string in it whose hash is least (winnowing). Equal windows have
    equal anchors at equal offsets, so a window can be repeated only if its anchor's hash occurs twice.
-2. Segments. The windows that share an anchor occurrence are one run; runs of anchors that occur twice are cut
-   out with the bytes that their windows span. Equal segments are folded into one (copies of a passage, near
-   copies); if there were several, all their windows are repeated, and one goes on as a witness.
-3. Shard BWTs. The segments of an anchor meet in one task, which gathers segments into shards of bounded size.
+2. Segments. The windows that share an anchor occurrence are a run; a run of an anchor that occurs twice is cut into
+   parts of PART windows at fixed offsets from the anchor. All windows of a part share its middle bytes, and equal
+   windows lie in parts with equal middles, so parts are grouped by these; the bytes that a part's windows span are
+   its segment. A part whose group has no other is done. Equal segments are folded into one: if there were
+   several, all their windows are repeated. A group of one segment needs no more; the others send each different
+   segment once, as witnesses. So what only the neighbourhoods of a frequent passage have stays apart.
+3. Shard BWTs. The segments of a group meet in one task, which gathers segments into shards of bounded size.
    A shard's suffixes, as sequences of BLOCK-byte symbols, are put in order, which gives its Burrows-Wheeler
    transform: for each suffix in order, the symbol before it.
 4. Merge. The shards' transforms are merged by interleave refinement (Holt and McMillan): from an interleave that is
@@ -26,17 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import stored
+from quillon.llm._shared import stored, tidied
 
 #: Bytes of a string that must repeat, of the string that anchors it, and of a symbol of the transforms.
 WINDOW, GRAM, BLOCK = 400, 40, 100
-#: Bytes of segments in a shard, and in the shards that are merged at a time (more if one anchor has more).
-SHARD, MERGE = 1 << 18, 1 << 21
-#: Occurrences from which an anchor's runs are dealt by content too, and windows in each of the parts.
-HOT, PART = 1_000, 64
+#: Bytes of segments in a shard, and in the shards that are merged at a time (more if one group has more).
+SHARD, MERGE = 1 << 17, 1 << 20
+#: Windows in a part of a run.
+PART = 64
+#: Texts with candidates up to which their ids are broadcast before texts move; beyond it, all texts move.
+BROADCAST_IDS = 200_000
 #: Bytes of a text that are looked at together for anchors.
 STRIDE = 1 << 22
 
@@ -112,18 +119,18 @@ def _step(symbol: np.ndarray, classes: np.ndarray, closing: int) -> tuple[np.nda
     """
     has = np.flatnonzero(symbol >= 0)
     keyed = np.sort((symbol[has].astype(np.uint64) << np.uint64(32)) | has.astype(np.uint64))
-    source = (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    now, was = keyed >> np.uint64(32), classes[source]
+    source, now = keyed.astype(np.uint32).astype(np.int32), (keyed >> np.uint64(32)).astype(np.int32)
+    was = classes[source]
     fresh = np.concatenate([[True], (now[1:] != now[:-1]) | (was[1:] != was[:-1])]) if len(source) else np.empty(0, bool)
-    return source, np.concatenate([np.arange(closing), closing - 1 + np.cumsum(fresh)])
+    return source, np.concatenate([np.arange(closing, dtype=np.int32), closing - 1 + np.cumsum(fresh, dtype=np.int32)])
 
 
 def shard_bwt(members: np.ndarray, before: np.ndarray, ends: np.ndarray, passes: int) -> np.ndarray:
     """A shard's suffixes in the order of their first `passes` symbols, from any order; before is by place in the chunk."""
-    order, classes = members, np.zeros(len(members), np.int64)
+    order, classes = members, np.zeros(len(members), np.int32)
     for _ in range(passes):
         source, classes = _step(before[order], classes, len(ends))
-        order = np.concatenate([ends, order[source] - BLOCK])
+        order = np.concatenate([ends, order[source] - np.int32(BLOCK)])
     return order
 
 
@@ -137,39 +144,57 @@ def merge(orders: list[np.ndarray], ends: list[np.ndarray], before: np.ndarray,
     sizes = [len(o) for o in orders]
     interleave = np.repeat(np.arange(len(orders), dtype=np.uint16), sizes)
     closing = np.repeat(np.arange(len(orders), dtype=np.uint16), [len(e) for e in ends])
-    classes = np.zeros(len(interleave), np.int64)
+    classes = np.zeros(len(interleave), np.int32)
     for _ in range(passes):
         turn = np.argsort(interleave, kind="stable")  # a radix sort: the places of shard 0, then of shard 1, ...
         symbol = np.empty_like(transforms)
         symbol[turn] = transforms
         source, classes = _step(symbol, classes, len(closing))
         interleave = np.concatenate([closing, interleave[source]])
-    merged = np.empty(len(interleave), np.int64)
+    merged = np.empty(len(interleave), np.int32)
     merged[np.argsort(interleave, kind="stable")] = np.concatenate(orders)
     return merged, classes
 
 
+def ranks(found: np.ndarray, n: int) -> np.ndarray:
+    """Numbers for equal hashes, padded to n places.
+
+    Hashes are sorted together with their places by their upper bits alone, which is one sort of plain numbers;
+    if those bits put different hashes together, all bits are sorted instead.
+    """
+    bits = np.uint64(max(1, len(found)).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    keyed = np.sort((found & ~low) | np.arange(len(found), dtype=np.uint64))
+    order = (keyed & low).astype(np.int32)
+    fresh = np.concatenate([[True], keyed[1:] >> bits != keyed[:-1] >> bits]) if len(found) else np.empty(0, bool)
+    whole = found[order]
+    out = np.full(n, -1, np.int32)
+    if (~fresh[1:] & (whole[1:] != whole[:-1])).any():
+        out[: len(found)] = np.unique(found, return_inverse=True)[1]
+    else:
+        out[order] = np.cumsum(fresh) - 1
+    return out
+
+
 def repeated(segments: list[bytes], shard: int = SHARD) -> list[np.ndarray]:
     """For each segment, which of its windows occur twice or more among all windows of all segments."""
     lengths = np.array([len(s) for s in segments])
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])  # one byte after each segment is its empty suffix
     data = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     n = len(data)
-    left = np.repeat(starts + lengths, lengths + 1) - np.arange(n)  # bytes up to the segment's end
-    found = hashes(data, BLOCK)
-    _, ranks = np.unique(found, return_inverse=True)
-    symbols = np.full(n, -1, np.int64)
-    symbols[: len(ranks)] = ranks
+    places = np.arange(n, dtype=np.int32)
+    left = np.repeat(starts + lengths, lengths + 1).astype(np.int32) - places  # bytes up to the segment's end
+    symbols = ranks(hashes(data, BLOCK), n)
     symbols[left < BLOCK] = -1
-    gone = np.arange(n) - np.repeat(starts, lengths + 1)  # bytes since the segment's start
-    before = np.full(n, -1, np.int64)
-    before[gone >= BLOCK] = symbols[np.flatnonzero(gone >= BLOCK) - BLOCK]
+    inner = np.flatnonzero(places - np.repeat(starts, lengths + 1) >= BLOCK)  # those with a whole symbol before them
+    before = np.full(n, -1, np.int32)
+    before[inner] = symbols[inner - BLOCK]
     owner = np.repeat((np.cumsum(lengths + 1) - 1) // shard, lengths + 1)
     passes = WINDOW // BLOCK
     cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
     orders, ends = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        members = np.arange(a, b)
+        members = places[a:b]
         ends.append(members[left[a:b] < BLOCK])
         orders.append(shard_bwt(members, before, ends[-1], passes))
     merged, classes = merge(orders, ends, before, passes)
@@ -216,103 +241,113 @@ def _text_id(text: Column) -> Column:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text) -> one row for each different text of a batch: its copies there, size, digest and runs."""
+    uid = TaskContext.get().partitionId() << 40
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
             held: dict[tuple[int, int], list] = {}
-            for a, b, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for a, b, text in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
                 if (a, b) in held:
                     held[a, b][0] += 1
                     continue
                 raw = text.encode("utf-8")
-                key, _, first, last = runs(raw)
-                held[a, b] = [1, len(raw), hashlib.sha256(raw).hexdigest(), key.view(np.int64), first.astype(np.int32), last.astype(np.int32)]
-            values = list(held.values())
+                keys, *spans = runs(raw)
+                held[a, b] = [1, len(raw), hashlib.sha256(raw).hexdigest(), keys.view(np.int64), *(x.astype(np.int32) for x in spans)]
+            columns = list(zip(*held.values(), strict=True)) if held else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(range(uid, uid + len(held)), pa.int64()),
                     pa.array([k[0] for k in held], pa.int64()),
                     pa.array([k[1] for k in held], pa.int64()),
-                    pa.array([v[0] for v in values], pa.int64()),
-                    pa.array([v[1] for v in values], pa.int64()),
-                    pa.array([v[2] for v in values], pa.string()),
-                    pa.array([v[3] for v in values], pa.list_(pa.int64())),
-                    pa.array([v[4] for v in values], pa.list_(pa.int32())),
-                    pa.array([v[5] for v in values], pa.list_(pa.int32())),
+                    *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)),
                 ],
-                ["a", "b", "copies", "n_bytes", "whole_sha256", "keys", "firsts", "lasts"],
+                ["uid", "a", "b", "copies", "n_bytes", "whole_sha256", "keys", "places", "firsts", "lasts"],
             )
+            uid += len(held)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text, runs) -> (a, b, key, at, bytes): the bytes that each run's windows span.
+def parts(raw: bytes, place: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+    """(group, start, end) of the parts of a run: the hash of a part's middle and offset, and its segment's bytes."""
+    while first <= last:
+        part = (place - first) // PART
+        high = min(last, place - part * PART)
+        middle = raw[max(0, place - part * PART) : place - part * PART - PART + 1 + WINDOW]
+        yield xxhash.xxh3_64_intdigest(middle, part), first, high + WINDOW
+        first = high + 1
 
-    Runs of a hot anchor are cut into parts of PART windows at fixed offsets from the anchor. All windows of a
-    part share its middle bytes, and equal windows lie in equal parts, so those bytes may go into the key: what
-    only the neighbourhoods of a frequent passage have stays apart.
-    """
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, text, runs) -> (uid, key, x, at, size) of every part: its group, its segment's hash, place and bytes."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            flat = some.column(2).flatten()
+            spans = zip(*(flat.field(i).to_pylist() for i in range(3)), strict=True)
+            uids, keys, xs, starts, sizes = [], [], [], [], []
+            for uid, text, n in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).value_lengths().to_pylist(), strict=True):
+                raw = text.encode("utf-8")
+                for _ in range(n):
+                    for key, start, end in parts(raw, *next(spans)):
+                        uids.append(uid)
+                        keys.append(key)
+                        xs.append(digest(raw[start:end]))
+                        starts.append(start)
+                        sizes.append(end - start)
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), _signed(keys), _signed(xs), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], ["uid", "key", "x", "at", "size"])
+
+
+def _witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, segments) -> (key, x, n, bytes) of the segments that this text sends."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            rows: list[tuple] = []
-            for a, b, text, found in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            flat = some.column(1).flatten()
+            keys, xs, ns = (flat.field(i) for i in range(3))
+            spans = zip(flat.field(3).to_pylist(), flat.field(4).to_pylist(), strict=True)
+            out = []
+            for text, n in zip(some.column(0).to_pylist(), some.column(1).value_lengths().to_pylist(), strict=True):
                 raw = text.encode("utf-8")
-                for run in found:
-                    key, first, last = run["key"], run["first"], run["last"]
-                    if not run["hot"]:
-                        rows.append((a, b, key, first, raw[first : last + WINDOW]))
-                        continue
-                    # the anchor's place follows from the run: it is the last window's first GRAM bytes or the
-                    # first window's last ones, whichever has the anchor's hash
-                    place = _anchor_of(raw, key, first, last)
-                    low = first
-                    while low <= last:
-                        part = (place - low) // PART
-                        high = min(last, place - part * PART)
-                        shared = raw[place - part * PART : place - part * PART - PART + 1 + WINDOW]
-                        sub = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=f"{key}:{part}".encode()).digest(), "little", signed=True)
-                        rows.append((a, b, sub, low, raw[low : high + WINDOW]))
-                        low = high + 1
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "key", "at", "bytes"])
-
-
-def _anchor_of(raw: bytes, key: int, first: int, last: int) -> int:
-    """The leftmost place, inside all windows of a run, of the GRAM bytes whose hash is key."""
-    common = np.frombuffer(raw[last : first + WINDOW], np.uint8)
-    return last + int(np.flatnonzero(hashes(common, GRAM).view(np.int64) == key)[0])
+                for _ in range(n):
+                    start, size = next(spans)
+                    out.append(raw[start : start + size])
+            yield pa.RecordBatch.from_arrays([keys, xs, ns, pa.array(out, pa.binary())], ["key", "x", "n", "bytes"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, bytes, copies) by key -> (bytes' two hashes, starts, ends) of segments with repeated windows."""
-    held: tuple[list, list, list, list] = ([], [], [], [])
+    """(key, x, n, bytes) by key -> (key, x, starts, ends) of segments with repeated windows, relative to the segment."""
+    held: tuple[list, ...] = ([], [], [], [])
     size, now = 0, None
 
     def told() -> pa.RecordBatch:
-        keys, xs, segments, copies = held
         out: list[tuple] = []
-        for k, x, segment, n, twice in zip(keys, xs, segments, copies, repeated(segments), strict=True):
+        for key, x, n, segment, twice in zip(*held, repeated(held[3]), strict=True):
             starts, ends = covered(np.ones(len(segment) - WINDOW + 1, bool) if n > 1 else twice)
             if len(starts):
-                out.append((k, x, starts.tolist(), ends.tolist()))
+                out.append((key, x, starts.tolist(), ends.tolist()))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "x", "starts", "ends"])
 
     for batch in batches:
-        for key, x, segment, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != now and size >= MERGE:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now and size >= MERGE:
                 yield told()
                 held, size = ([], [], [], []), 0
-            now = key
-            for values, value in zip(held, (key, x, segment, n), strict=True):
+            now = row[0]
+            for values, value in zip(held, row, strict=True):
                 values.append(value)
-            size += len(segment)
+            size += len(row[3])
     if held[0]:
         yield told()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text, spans) -> (a, b, n_removed, n_spans, kept_sha256, spans)."""
+    """(a, b, text, spans) -> (a, b, n_removed, n_spans, kept_sha256, spans): what is left of each text."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             rows = []
@@ -337,31 +372,42 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     same text or another; matches do not cross texts, overlaps count, and all strings are judged on the input.
     Other columns of df are not read; an empty table gives no rows.
 
-    Text identity is a pair of 64-bit hashes; groups of equal texts, however large, are processed once.
+    Identity of texts, middles and segments is by pairs of 64-bit hashes; the merge compares bytes. Groups of equal
+    texts, however large, are processed once.
     """
     whole = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", _text_id(F.col("text")))
-    schema = "a long, b long, copies long, n_bytes long, whole_sha256 string, keys array<long>, firsts array<int>, lasts array<int>"
-    seen = stored(whole.select("t.a", "t.b", "text").mapInArrow(_anchors, schema), "repeats-anchors")
+    schema = "uid long, a long, b long, copies long, n_bytes long, whole_sha256 string, keys array<long>, places array<int>, firsts array<int>, lasts array<int>"
+    seen = stored(whole.select("t.a", "t.b", "text").mapInArrow(tidied(_anchors), schema), "repeats-anchors")
     texts = seen.groupBy("a", "b").agg(F.sum("copies").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.max("whole_sha256").alias("whole_sha256"))
 
-    # every different text once: of its rows in `seen`, one for each batch, the runs agree
-    each = seen.where(F.size("keys") > 0).select("a", "b", F.explode(F.arrays_zip("keys", "firsts", "lasts")).alias("r"))
-    each = each.select("a", "b", F.col("r.keys").alias("key"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last")).distinct()
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    often = each.join(counts, "key").select("a", "b", F.struct("key", "first", "last", (F.col("n") > HOT).alias("hot")).alias("run"))
-    wanted = often.groupBy("a", "b").agg(F.collect_list("run").alias("runs"))
-
-    bodies = whole.select("t.a", "t.b", "text").groupBy("a", "b").agg(F.first("text").alias("text"))
-    bodies = stored(bodies.join(wanted, ["a", "b"]).select("a", "b", "text", "runs"), "repeats-bodies")
-    cut = bodies.mapInArrow(_segments, "a long, b long, key long, at int, bytes binary")
-    members = stored(cut.withColumn("x", F.xxhash64("bytes")), "repeats-segments")
-    different = members.groupBy("key", "x", "bytes").agg(F.count(F.lit(1)).alias("copies"))
-    dealt = different.select("key", "x", "bytes", "copies").repartition("key").sortWithinPartitions("key", "x")
-    found = dealt.mapInArrow(_repeats, "key long, x long, starts array<int>, ends array<int>")
-    spans = members.select("a", "b", "key", "x", "at").join(found, ["key", "x"])
+    # anchors that occur at two places (of the same text, or of different ones)
+    each = seen.select("uid", "a", "b", F.explode(F.arrays_zip("keys", "places", "firsts", "lasts")).alias("r"))
+    spot = F.xxhash64("a", "b", "r.firsts")
+    often = each.groupBy(F.col("r.keys").alias("key")).agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("key")
+    found = each.select("uid", F.col("r.keys").alias("key"), F.struct("r.places", "r.firsts", "r.lasts").alias("run")).join(often, "key")
+    found = found.groupBy("uid").agg(F.collect_list("run").alias("runs")).join(seen.select("uid", "a", "b"), "uid")
+    wanted = stored(found.groupBy("a", "b").agg(F.min("uid").alias("uid"), F.min_by("runs", "uid").alias("runs")), "repeats-runs")
+
+    bodies = whole.select("t.a", "t.b", "text")
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        bodies = bodies.join(F.broadcast(wanted.select("a", "b")), ["a", "b"], "left_semi")
+    bodies = bodies.groupBy("a", "b").agg(F.first("text").alias("text")).join(wanted, ["a", "b"])
+    bodies = stored(bodies.select("a", "b", "uid", "text", "runs"), "repeats-bodies")
+    members = stored(bodies.select("uid", "text", "runs").mapInArrow(tidied(_members), "uid long, key long, x long, at int, size int"), "repeats-members")
+
+    # different segments, with their number of places and one of these, and how many of them a group has
+    different = members.groupBy("key", "x").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("uid", "at", "size"), F.struct("uid", "at")).alias("r"))
+    groups = different.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
+    judged = stored(different.join(groups.where(F.col("all") > 1), "key"), "repeats-segments")
+    alone = judged.where("kinds = 1").select("key", "x", F.array(F.lit(0)).alias("starts"), F.array(F.col("r.size")).alias("ends"))
+    sent = judged.where("kinds > 1").groupBy("r.uid").agg(F.collect_list(F.struct("key", "x", "n", "r.at", "r.size")).alias("segments"))
+    bytes_ = bodies.select("uid", "text").join(sent, "uid").select("text", "segments").mapInArrow(tidied(_witnesses), "key long, x long, n long, bytes binary")
+    merged = bytes_.repartition("key").sortWithinPartitions("key", "x").mapInArrow(tidied(_repeats), "key long, x long, starts array<int>, ends array<int>")
+
+    spans = members.join(alone.unionAll(merged), ["key", "x"])
     shifted = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct((s["starts"] + F.col("at")).alias("start"), (s["ends"] + F.col("at")).alias("end")))
-    of_text = spans.select("a", "b", shifted.alias("s")).groupBy("a", "b").agg(F.flatten(F.collect_list("s")).alias("spans"))
-    done = bodies.select("a", "b", "text").join(of_text, ["a", "b"]).mapInArrow(_cut, "a long, b long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    of_text = spans.select("uid", shifted.alias("s")).groupBy("uid").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    done = bodies.select("uid", "a", "b", "text").join(of_text, "uid").select("a", "b", "text", "spans").mapInArrow(tidied(_cut), "a long, b long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
     everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))

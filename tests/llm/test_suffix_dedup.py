@@ -61,11 +61,20 @@ def test_against_every_window(spark):
     assert sum(r.n_removed > 0 for r in found) > 30
 
 
-def test_hot_anchors_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(s, "HOT", 1)
+def test_small_parts_and_moving_all_texts_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(s, "PART", 7)
+    monkeypatch.setattr(s, "BROADCAST_IDS", 0)
     check(spark, corpus(1))
 
 
+def test_ranks_fall_back_to_all_bits():
+    found = np.array([5, 5, 1 << 60, (1 << 60) + 1, 7, 1 << 60], np.uint64)
+    for size in (len(found), len(found) + 3):
+        got = s.ranks(found, size)
+        assert (got[len(found) :] == -1).all()
+        assert all((got[i] == got[j]) == (found[i] == found[j]) for i in range(len(found)) for j in range(len(found)))
+
+
 def test_many_shards_merge_to_the_same():
     rng = random.Random(5)
     base = bytes(rng.randrange(97, 103) for _ in range(3_000))
