@@ -435,3 +435,55 @@ class Gaussian(Hmm):
     def draw(self, state: int, rng: np.random.Generator) -> list[float]:
         full = covariance_full(self.covars, self.kind, self.n_states, self.means.shape[1])[state]
         return rng.multivariate_normal(self.means[state], full).tolist()
+
+
+@dataclass
+class GaussianMixture(Hmm):
+    """H16, an extension (the surveyed class has a constructor only): each state emits from a mixture of diagonal Gaussians."""
+
+    n_mix: int = 2
+    floor: float = 1e-3
+    weights: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    means: np.ndarray = field(default_factory=lambda: np.empty((0, 0, 0)))
+    covars: np.ndarray = field(default_factory=lambda: np.empty((0, 0, 0)))
+    names = ("initial", "transit", "weights", "means", "covars")
+
+    def start(self, df: DataFrame, obs: str) -> None:
+        super().start(df, obs)
+        if len(self.means):
+            return
+        k, m = self.n_states, self.n_mix
+        flat = df.select(F.explode(obs).alias("x")).withColumn("id", F.monotonically_increasing_id())
+        centres = KMeans(k * m, max_iter=20, seed=self.seed).fit(flat, "id", "x").centres
+        from quillon.operators.linalg import covariance
+
+        _, cov, _ = covariance(flat, F.col("x"))
+        self.means = centres.reshape(k, m, -1)
+        self.weights = np.full((k, m), 1 / m)
+        self.covars = np.tile(np.diag(cov) + self.floor, (k, m, 1))
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """(places, states, parts): ln weight + ln density."""
+        with np.errstate(divide="ignore"):
+            return np.stack([np.stack([np.log(w) + log_normal(x, mu, c, "diag") for w, mu, c in zip(ws, mus, cs, strict=True)], 1) for ws, mus, cs in zip(self.weights, self.means, self.covars, strict=True)], 1)
+
+    def log_emissions(self, x: np.ndarray) -> np.ndarray:
+        return logsumexp(self.parts(x), 2)
+
+    def statistics(self, x: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        part = self.parts(x)
+        share = np.exp(part - logsumexp(part, 2)[:, :, None]) * gamma[:, :, None]
+        z = np.hstack([np.ones((len(x), 1)), x, x * x])
+        return np.einsum("nkm,nd->kmd", share, z).ravel()
+
+    def renew(self, s: np.ndarray) -> None:
+        d = self.means.shape[2]
+        s = s.reshape(self.n_states, self.n_mix, 2 * d + 1)
+        n = np.maximum(s[:, :, :1], 1e-12)
+        self.weights = (n / n.sum(1, keepdims=True))[:, :, 0]
+        self.means = s[:, :, 1 : d + 1] / n
+        self.covars = np.maximum(s[:, :, d + 1 :] / n - self.means**2, self.floor)
+
+    def draw(self, state: int, rng: np.random.Generator) -> list[float]:
+        m = int(rng.choice(self.n_mix, p=self.weights[state]))
+        return rng.normal(self.means[state, m], np.sqrt(self.covars[state, m])).tolist()

@@ -122,3 +122,54 @@ class Svm:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([str(model.classes[i]) for i in which])], [id_col, "predicted"])
 
         return df.select(id_col, vector).mapInArrow(run, f"`{id_col}` {kind}, predicted string")
+
+
+@dataclass
+class Rvm:
+    """S16, an extension (the surveyed class is a stub): the relevance vector machine for regression.
+
+    Every training row and a bias have a weight with a precision of its own; precisions and the noise are
+    re-estimated from the posterior until they rest, and weights whose precision passes `prune` are dropped.
+    """
+
+    kernel: str = "gaussian"
+    parameters: dict = field(default_factory=dict)
+    alpha: float = 1.0
+    beta: float = 1.0
+    max_iter: int = 100
+    prune: float = 1e9
+    max_rows: int = 5_000
+    points: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    used: np.ndarray = field(default_factory=lambda: np.empty(0, int))
+
+    def _design(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.ones((len(x), 1)), kernel_values(self.kernel, x, self.points, **self.parameters)])
+
+    def fit(self, df: DataFrame, id_col: str, vector: str, y: str) -> Rvm:
+        rows = df.select(id_col, vector, F.col(y).cast("double").alias("_y")).orderBy(id_col).limit(self.max_rows + 1).collect()
+        if len(rows) > self.max_rows:
+            raise ValueError(f"at most {self.max_rows} training rows")
+        self.points, t = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        whole = self._design(self.points)
+        used, alpha, beta = np.arange(whole.shape[1]), np.full(whole.shape[1], self.alpha), self.beta
+        mean = np.zeros(len(used))
+        for _ in range(self.max_iter):
+            phi = whole[:, used]
+            spread = np.linalg.inv(np.diag(alpha) + beta * phi.T @ phi)
+            mean = beta * spread @ phi.T @ t
+            gamma = 1 - alpha * np.diag(spread)
+            fresh = gamma / np.maximum(mean**2, 1e-300)
+            beta = float((len(t) - gamma.sum()) / max(((t - phi @ mean) ** 2).sum(), 1e-300))
+            keep = fresh < self.prune
+            settled = keep.all() and np.allclose(fresh, alpha, rtol=1e-4)
+            used, alpha, mean = used[keep], fresh[keep], mean[keep]
+            if settled:
+                break
+        phi = whole[:, used]
+        mean = beta * np.linalg.inv(np.diag(alpha) + beta * phi.T @ phi) @ phi.T @ t
+        self.used, self.weights, self.beta = used, mean, beta
+        return self
+
+    def predict_array(self, x: np.ndarray) -> np.ndarray:
+        return self._design(x)[:, self.used] @ self.weights

@@ -238,3 +238,27 @@ def test_splits(spark):
     with pytest.raises(KeyError):
         preprocessing.basis("none of these")
     assert list(itertools.islice(preprocessing.BASES, 1)) == ["gaussian"]
+
+
+def test_relevance_vectors_are_few(spark):
+    x = np.linspace(-5, 5, 100)
+    y = np.sinc(x / 2) + np.random.default_rng(1).normal(0, 0.02, 100)
+    df = spark.createDataFrame([(i, [float(a)], float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, x array<double>, y double")
+    model = svm.Rvm(parameters={"sigma": 1.5}, max_iter=300).fit(df, "id", "x", "y")
+    assert len(model.used) < 30 and np.abs(model.predict_array(x[:, None]) - np.sinc(x / 2)).max() < 0.1
+
+
+def test_loops(spark):
+    from quillon.plans import loops
+
+    state, history = loops.iterate(lambda v: (v / 2, v / 2), 1.0, 50, 1e-3)
+    assert state < 2e-3 and history.frame(spark).count() == len(history.rows) < 50 and not loops.above(history, "change", 1.0)
+    assert loops.timed(lambda seed: seed, repetitions=3) >= 0 and loops.generator(3).random() == loops.generator(3).random()
+    registry = loops.Registry("shape", square=lambda side=1: side * side)
+    assert registry.make("square", side=3) == 9 and registry.make(len) is len
+    with pytest.raises(KeyError):
+        registry.make("circle")
+    with pytest.raises(KeyError):
+        loops.one_of(mode=("x", ("a", "b")))
+    with pytest.raises(ValueError):
+        loops.iterate(None, 0, -1)

@@ -319,3 +319,15 @@ def test_scode_recovers_a_line(spark):
     model = scode.Scode(dimension=2, max_iter=300, low=-4, high=1, seed=1).fit(df, "t", "x")
     assert model.history == sorted(model.history, reverse=True) and np.abs(model.predict(t) - x).max() < 0.1
     assert model.strongest(spark, 1).count() == 1
+
+
+def test_gaussian_mixture_emissions(spark):
+    rng = np.random.default_rng(9)
+    label = np.repeat([0, 1, 0, 1], 60)
+    side = rng.integers(0, 2, 240)
+    points = rng.normal(0, 0.4, (240, 1)) + np.where(label == 0, np.where(side, 0.0, 2.0), np.where(side, 8.0, 10.0))[:, None]
+    df = grouped(spark, points.tolist(), 240)
+    model = hmm.GaussianMixture(2, seed=3).fit(df, "obs", max_iter=20)
+    told = np.array(model.decode(df, "s", "obs").first().states)
+    assert max((told == label).mean(), (told != label).mean()) > 0.9 and model.history[-1] > model.history[0]
+    assert len(model.sample(4)[0]) == 4
