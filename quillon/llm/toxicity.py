@@ -82,7 +82,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 500, rate: float
     for t in range(1, steps + 1):
         gaps = np.exp(p[d + 1 :])
         cut = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-        s = x @ p[:d]
+        s = (x @ p[:d].astype(x.dtype)).astype(float)
         up = np.where(top, 1.0, 1 / (1 + np.exp(-np.clip(cut[np.minimum(grade, TOP - 1)] - s, -30, 30))))
         low = np.where(bottom, 0.0, 1 / (1 + np.exp(-np.clip(cut[np.maximum(grade, 1) - 1] - s, -30, 30))))
         chance = np.maximum(up - low, 1e-9)
@@ -91,7 +91,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 500, rate: float
         np.add.at(g_cut, np.minimum(grade, TOP - 1), -np.where(top, 0, d_up))
         np.add.at(g_cut, np.maximum(grade, 1) - 1, np.where(bottom, 0, d_low))
         tail = np.cumsum(g_cut[::-1])[::-1]
-        g = np.concatenate([x.T @ (d_up - d_low), tail[:1], tail[1:] * gaps]) / n
+        g = np.concatenate([(d_up - d_low).astype(x.dtype) @ x, tail[:1], tail[1:] * gaps]) / n
         g[:d] += ridge * p[:d]
         g[d + 1 :] += 1e-4 * p[d + 1 :]
         first = 0.9 * first + 0.1 * g
@@ -100,7 +100,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 500, rate: float
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8_000) -> Severity:
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000) -> Severity:
     """Learn from at most max_rows labelled rows that are not held out, those whose hashed key is smallest.
 
     Rows are counted by feature over the sample in Spark; the driver sees FEATURES features and, for each sampled
