@@ -26,3 +26,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables under the shared folder: for the end of a job, when nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quillon")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

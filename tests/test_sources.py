@@ -72,3 +72,15 @@ def test_stream_counts_late_rows_in(spark, tmp_path):
     df.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
     stream = W.tumbling(W.event_stream(spark, str(tmp_path), files_a_trigger=1), "1 hour", "1 day", F.count(F.lit(1)).alias("n"))
     assert sorted(r.n for r in W.drained(stream, "test").collect()) == [10, 10, 10]
+
+
+def test_scratch_tables_can_be_cleared(spark, tmp_path):
+    from quillon.core import scratch
+
+    df = scratch.stored(spark.range(3), "mine")
+    assert df.count() == 3
+    files = df.inputFiles()
+    scratch.clear(spark)
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
