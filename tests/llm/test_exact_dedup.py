@@ -70,3 +70,21 @@ def test_whole_table(spark):
     rows = [(None, r.doc_id, r.text) for r in docs.collect()]
     found = x.deduplicate(docs).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found), key=str) == brute(rows)
+
+
+def test_kept_rows_are_whole(spark):
+    rows = ROWS + [("z", 100 + i, f"copy {i % 7}", i, "q") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = [tuple(r) for r in x.kept_rows(df).collect()]
+    assert x.kept_rows(df).columns == df.columns
+    told = [r for r in x.deduplicate(df).collect() if r.kept]
+    assert sorted(str(r[1]) for r in kept) == sorted(str(r.doc_id) for r in told)
+    assert all(r in rows for r in kept)
+    assert x.kept_rows(df.limit(0)).collect() == []
+
+
+def test_kept_rows_by_a_shuffle_too(spark, monkeypatch):
+    from quillon.llm import _shared
+
+    monkeypatch.setattr(_shared, "BROADCAST_IDS", 0)
+    test_kept_rows_are_whole(spark)

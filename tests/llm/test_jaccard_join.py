@@ -107,3 +107,12 @@ def test_whole_table(spark):
     rows = [(None, r.doc_id, r.text) for r in docs.collect()]
     found = j.join(docs).collect()
     assert sorted(((r.doc_id, r.class_id, r.class_size, r.links) for r in found), key=str) == brute(rows)
+
+
+def test_kept_rows_are_whole(spark):
+    rows = varied(3, families=5, members=5) + [("z", 900, None, 0, ""), ("y", 901, "", 1, None), ("z", 903, "one two", 0, ""), ("z", 904, "one  two", 0, ""), ("z", None, "one two", 0, "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = [tuple(r) for r in j.kept_rows(df).collect()]
+    assert j.kept_rows(df).columns == df.columns and all(r in rows for r in kept)
+    assert sorted(r[1] for r in kept) == sorted({c for _, c, _, _ in brute(rows)})
+    assert j.kept_rows(df.limit(0)).collect() == []

@@ -76,3 +76,13 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     found = mixing.mix(spark.createDataFrame(rows_of({"a": [None, "", " "]}), SCHEMA)).collect()
     assert [(r.size, r.target, r.taken, r.draws) for r in found] == [(0, 0.0, 0, [])] * 3
+
+
+def test_carried_columns_and_copies(spark):
+    rows = rows_of({"a": ["w x y"] * 30, "b": ["z"] * 5, None: [None]})
+    df = spark.createDataFrame(rows, SCHEMA)
+    mixed = mixing.mix(df.select("doc_id", "source", "text", df["taken"].alias("n_chars")), carry=("text", "n_chars"), whole=True)
+    copies = mixing.materialise(mixed, ["doc_id", "text", "n_chars", "source"]).collect()
+    by_id = {r[1]: r for r in rows}
+    assert all(r.text == by_id[r.doc_id][3] and r.source == by_id[r.doc_id][2] for r in copies)
+    assert len(copies) == sum(len(r.draws) for r in mixed.collect())

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from quillon.llm import _shared
 from quillon.llm import suffix_dedup as s
 
 SCHEMA = "spans string, doc_id long, text string, n_bytes int, key string"
@@ -63,7 +64,7 @@ def test_against_every_window(spark):
 
 def test_small_parts_and_moving_all_texts_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(s, "PART", 7)
-    monkeypatch.setattr(s, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(_shared, "BROADCAST_IDS", 0)
     check(spark, corpus(1))
 
 
