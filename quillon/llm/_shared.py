@@ -39,12 +39,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " "), "")
 
 
-def n_words(text: Column) -> Column:
-    """Number of words, from lengths alone: word starts are what is left of `(space)(word character)`."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"{WORD}+", "\u0001")
-    return F.length(F.regexp_replace(marked, "[^\u0001]", "")).cast("long")
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -73,12 +67,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_of(names: list[str], wanted: str) -> str:
-    """wanted, with underscores added until no column of the input has that name."""
-    taken = {n.lower() for n in names}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+#: Ids up to which a side of a join is broadcast, some 3 MB; beyond it the join shuffles.
+BROADCAST_IDS = 200_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcasting if its size allows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 Batches = Iterator[pa.RecordBatch]

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import stored, tidied
+from quillon.llm._shared import small, stored, tidied
 
 #: Bytes of a string that must repeat, of the string that anchors it, and of a symbol of the transforms.
 WINDOW, GRAM, BLOCK = 400, 40, 100
@@ -42,8 +42,6 @@ WINDOW, GRAM, BLOCK = 400, 40, 100
 SHARD, MERGE = 1 << 17, 1 << 20
 #: Windows in a part of a run.
 PART = 64
-#: Texts with candidates up to which their ids are broadcast before texts move; beyond it, all texts move.
-BROADCAST_IDS = 200_000
 #: Bytes of a text that are looked at together for anchors.
 STRIDE = 1 << 22
 
@@ -384,13 +382,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     each = seen.select("uid", "a", "b", F.explode(F.arrays_zip("keys", "places", "firsts", "lasts")).alias("r"))
     spot = F.xxhash64("a", "b", "r.firsts")
     often = each.groupBy(F.col("r.keys").alias("key")).agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("key")
+    often = stored(often, "repeats-often")  # a table of its own, so that Spark may split a frequent anchor's side of the join
     found = each.select("uid", F.col("r.keys").alias("key"), F.struct("r.places", "r.firsts", "r.lasts").alias("run")).join(often, "key")
     found = found.groupBy("uid").agg(F.collect_list("run").alias("runs")).join(seen.select("uid", "a", "b"), "uid")
     wanted = stored(found.groupBy("a", "b").agg(F.min("uid").alias("uid"), F.min_by("runs", "uid").alias("runs")), "repeats-runs")
 
-    bodies = whole.select("t.a", "t.b", "text")
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        bodies = bodies.join(F.broadcast(wanted.select("a", "b")), ["a", "b"], "left_semi")
+    bodies = whole.select("t.a", "t.b", "text").join(small(wanted.select("a", "b")), ["a", "b"], "left_semi")
     bodies = bodies.groupBy("a", "b").agg(F.first("text").alias("text")).join(wanted, ["a", "b"])
     bodies = stored(bodies.select("a", "b", "uid", "text", "runs"), "repeats-bodies")
     members = stored(bodies.select("uid", "text", "runs").mapInArrow(tidied(_members), "uid long, key long, x long, at int, size int"), "repeats-members")
