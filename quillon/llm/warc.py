@@ -213,7 +213,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     record_id orders records by file path and place; ts comes from WARC-Date and is null where that is no date.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = spark.read.format("binaryFile").load(path)
+    numbers = found.select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("file_no"))  # one row a file
+    files = found.select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,8 +234,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     rows = files.mapInArrow(run, "path string, place long, kind string, url string, date string, status int, headers map<string,string>, payload binary")
-    file_no = F.conv(F.substring(F.md5(F.col("path").cast("binary")), 1, 8), 16, 10).cast("long")
-    return rows.select((file_no * F.lit(1 << 31) + F.col("place")).alias("record_id"), "kind", "url", F.unix_timestamp(F.try_to_timestamp("date")).alias("ts"), "status", "headers", "payload")
+    rows = rows.join(numbers, "path")
+    return rows.select((F.col("file_no") * F.lit(1 << 31) + F.col("place")).alias("record_id"), "kind", "url", F.unix_timestamp(F.try_to_timestamp("date")).alias("ts"), "status", "headers", "payload")
 
 
 def write(records: DataFrame, path: str) -> None:

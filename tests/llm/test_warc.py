@@ -100,6 +100,8 @@ def test_files_round_trip(spark, tmp_path):
     assert list(w.parse(b"")) == list(w.parse(b"junk")) == []
     (tmp_path / "one.warc").write_bytes(raw)
     (tmp_path / "two.warc.gz").write_bytes(zipped)
+    read = w.read(spark, str(tmp_path)).orderBy("record_id").collect()
+    assert [r.record_id % (1 << 31) for r in read] == [0, 1, 0, 1] and len({r.record_id for r in read}) == 4
     found = w.resolve(w.read(spark, str(tmp_path))).collect()
     assert sorted(r.outcome for r in found) == ["resolved", "resolved", "response", "response"]
     assert all(bytes(r.payload) == records[0]["payload"] for r in found)
