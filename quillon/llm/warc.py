@@ -49,11 +49,17 @@ def canonical(url: Column) -> Column:
     return F.when(url.isNotNull(), let(bare, built))
 
 
+def lowered(headers: Column) -> Column:
+    """A map of headers with names in lower case; of names that differ in case alone the last in byte order counts, null is empty."""
+    none = F.create_map().cast("map<string,string>")
+    put = lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: k != F.lower(e["key"])), F.create_map(F.lower(e["key"]), e["value"]))
+    return F.aggregate(F.array_sort(F.map_entries(F.coalesce(headers, none))), none, put)
+
+
 def merged(stored_: Column, update: Column) -> Column:
-    """The stored response's headers with the permitted ones of the 304 put over them; names in lower case."""
-    lower = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    allowed = F.map_filter(lower(update), lambda k, _: k.isin(*PERMITTED))
-    return let(allowed, lambda new: F.map_concat(F.map_filter(lower(stored_), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(new), k), F.lit(False))), new))
+    """The stored response's headers with the permitted ones of the 304 put over them; both lowered()."""
+    allowed = F.map_filter(update, lambda k, _: k.isin(*PERMITTED))
+    return let(allowed, lambda new: F.map_concat(F.map_filter(stored_, lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(new), k), F.lit(False))), new))
 
 
 def resolve(records: DataFrame, carry: tuple[str, ...] = ("payload",), bucket_s: int = BUCKET_S) -> DataFrame:
@@ -75,8 +81,9 @@ def resolve(records: DataFrame, carry: tuple[str, ...] = ("payload",), bucket_s:
     rows = records.select("record_id", "kind", "url", "ts", "status", "headers", inner.alias("_carried"))
     rows = rows.withColumn("canonical_url", canonical(F.col("url")))
     rows = rows.withColumn("_at", F.coalesce("ts", F.lit(-(2**62)))).withColumn("_bucket", F.floor(F.col("_at") / bucket_s).cast("long"))
+    rows = rows.withColumn("_low", lowered(F.col("headers")))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    response = F.when(full, F.struct(F.col("_at").alias("at"), F.col("record_id").alias("id"), F.col("ts").alias("ts"), F.col("headers").alias("headers"), F.col("_carried").alias("carried")))
+    response = F.when(full, F.struct(F.col("_at").alias("at"), F.col("record_id").alias("id"), F.col("ts").alias("ts"), F.col("_low").alias("headers"), F.col("_carried").alias("carried")))
     rows = rows.withColumn("_full", response)
 
     order = [F.col("_at"), F.when(F.col("kind") == "revisit", 0).otherwise(1), F.col("record_id")]
@@ -94,10 +101,9 @@ def resolve(records: DataFrame, carry: tuple[str, ...] = ("payload",), bucket_s:
     found = F.when((F.col("kind") == "revisit") & F.col("canonical_url").isNotNull(), F.coalesce("_near", "_before"))
     joined = joined.withColumn("_found", found)
 
-    lowered = lambda m, name: F.element_at(F.transform_keys(m, lambda k, _: F.lower(k)), name)
-    tag = lambda m: F.regexp_replace(lowered(m, "etag"), "^W/", "")
-    mine, theirs = tag(F.col("headers")), tag(F.col("_found.headers"))
-    since, known = lowered(F.col("headers"), "last-modified"), lowered(F.col("_found.headers"), "last-modified")
+    tag = lambda m: F.regexp_replace(F.element_at(m, "etag"), "^W/", "")
+    mine, theirs = tag(F.col("_low")), tag(F.col("_found.headers"))
+    since, known = F.element_at("_low", "last-modified"), F.element_at("_found.headers", "last-modified")
     outcome = (
         F.when(F.col("kind") != "revisit", "response")
         .when(F.col("_found").isNull(), "no response")
@@ -116,7 +122,7 @@ def resolve(records: DataFrame, carry: tuple[str, ...] = ("payload",), bucket_s:
         "outcome",
         F.when(done, F.col("_found.id")).alias("response_id"),
         F.when(done, F.col("_found.ts")).alias("response_ts"),
-        F.when(done, merged(F.col("_found.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
+        F.when(done, merged(F.col("_found.headers"), F.col("_low"))).otherwise(F.col("headers")).alias("headers"),
         *(given(c) for c in carry),
     )
 

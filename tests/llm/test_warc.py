@@ -87,6 +87,12 @@ def test_empty_and_repeated(spark):
     assert w.resolve(w.from_pages(pages), carry=("payload_bytes", "payload_sha256")).count() == 6
 
 
+def test_names_that_differ_in_case(spark):
+    rows = [("x", 1, "response", "a.com", 1, 200, {"ETag": "old", "etag": "e", "Vary": "x"}, b"p"), ("x", 2, "revisit", "a.com", 5, 304, {"etag": "e", "ETAG": "f", "VARY": "y"}, None)]
+    found = {r.record_id: r for r in w.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[2].outcome == "resolved" and found[2].headers == {"etag": "e", "vary": "y"}
+
+
 def test_files_round_trip(spark, tmp_path):
     records = [
         {"kind": "response", "url": "http://a.com/", "date": "2024-01-01T00:00:00Z", "status": 200, "headers": {"etag": '"1"', "x": "y: z"}, "payload": b"body\r\n\r\nWARC/1.0 inside"},
