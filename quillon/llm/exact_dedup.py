@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import SPACE, stored, tidied
+from quillon.llm._shared import SPACE, small, stored, tidied
 
 #: Leading key bits that the directory may use: it has 2**MAX_DEPTH pointers at most. Buckets at that depth grow
 #: beyond the capacity instead of splitting, and stay exact.
@@ -173,12 +173,15 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", capacity
 
 
 def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of df that deduplicate() keeps, with all their columns."""
+    """The rows of df that deduplicate() keeps, with all their columns.
+
+    The rows that go are named, and they are usually few: then the texts stay where they are.
+    """
     others = [c for c in df.columns if c not in (key, text)]
     rows, answer = _answers(df, key, text, capacity, None, others or [key])
-    stay = answer.select(F.col("stays.uid").alias("uid")).distinct()
+    gone = rows.select("uid", "entry").join(answer.select("entry", F.col("stays.uid").alias("stay")), "entry").where("uid <> stay").select("uid")
     names = {key: F.col("id"), text: F.col("raw")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
-    return rows.join(stay, "uid", "left_semi").select(*(names[c].alias(c) for c in df.columns))
+    return rows.join(small(stored(gone, "dedup-gone")), "uid", "left_anti").select(*(names[c].alias(c) for c in df.columns))
 
 
 ORACLE_SQL = r"""

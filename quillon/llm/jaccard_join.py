@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import stored, tidied
+from quillon.llm._shared import small, stored, tidied
 
 #: Members, and n-grams in all, of a block of a component.
 BLOCK_ROWS, BLOCK_GRAMS = 2_000, 4_000_000
@@ -273,12 +273,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
 
 
 def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """One row of df for each class of join(), the one with the smallest key, with all its columns."""
+    """One row of df for each class of join(), the one with the smallest key, with all its columns.
+
+    The rows that go are named, and they are usually few: then the texts stay where they are.
+    """
     others = [c for c in df.columns if c not in (key, text)]
     rows, told = _classes(df, key, text, threshold, n, recall, others or [key])
-    stay = told.select(F.col("stays.uid").alias("uid")).distinct()
+    gone = stored(told.where("uid <> stays.uid").select("uid"), "jaccard-gone")
     names = {key: F.col("id"), text: F.col("text")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
-    return rows.join(stay, "uid", "left_semi").select(*(names[c].alias(c) for c in df.columns))
+    return rows.join(small(gone), "uid", "left_anti").select(*(names[c].alias(c) for c in df.columns))
 
 
 def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recall: float, carry: list[str]) -> tuple[DataFrame, DataFrame]:
