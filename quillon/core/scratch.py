@@ -24,7 +24,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its plan is short and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     now = stored(ordered.distinct(), name)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a table of its own, so that Spark may split the side of a node with very many neighbours
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         lowest = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         moved = large.join(lowest, F.col("b") == F.col("u")).where("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))
