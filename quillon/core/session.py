@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +32,31 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: their Python workers import it by name.
+
+    On a cluster executors have no copy of the driver's folders; Spark serves the archive from the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="quillon-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._quillon_shipped = True
+
+
+def shipped(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A callable (spark, ...) that ships the package before it runs."""
+
+    @wraps(run)
+    def go(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        ship(spark)
+        return run(spark, *args, **kwargs)
+
+    return go

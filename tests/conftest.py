@@ -10,9 +10,10 @@ os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from quillon.core.session import local_session
+    from quillon.core.session import local_session, ship
 
     session = local_session(4, 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
