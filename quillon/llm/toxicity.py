@@ -68,7 +68,7 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.thresholds - np.expand_dims(score, -1), -30, 30)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 500, rate: float = 0.05, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 500, rate: float = 0.05, ridge: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of the cumulative-link model, by full-batch Adam on the penalised likelihood.
 
     Thresholds are a first value and positive gaps, so they cannot cross. Grades that no row has leave their
