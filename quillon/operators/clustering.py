@@ -21,6 +21,16 @@ def nearest(vector: Column, centres: np.ndarray) -> Column:
     return F.array_min(F.array(*options))
 
 
+def nearest_rows(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """nearest() for the rows of a matrix, a bounded number of them at a time."""
+    out = np.empty(len(x), np.int64)
+    at_once = max(1, 4_000_000 // max(1, centres.size))
+    for at in range(0, len(x), at_once):
+        gap = x[at : at + at_once, None, :] - centres[None]
+        out[at : at + at_once] = (gap * gap).sum(2).argmin(1)
+    return out
+
+
 def assign(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
     """df with `cluster` and `sq_distance` to its centre."""
     found = df.withColumn("_n", nearest(F.col(vector), centres))
@@ -74,16 +84,29 @@ class KMeans:
 
     def step(self, df: DataFrame, id_col: str, vector: str, centres: np.ndarray, weight: Column) -> np.ndarray:
         """Weighted means of the clusters; an empty one takes a row far from its centre, the i-th empty the i-th farthest."""
-        told = assign(df, vector, centres).withColumn("_w", weight)
-        long = told.select("cluster", "_w", F.posexplode(vector).alias("dim", "x"))
-        means = long.groupBy("cluster", "dim").agg((F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("m")).collect()
-        new, seen = centres.copy(), set()
-        for r in means:
-            new[r["cluster"], r["dim"]] = r["m"]
-            seen.add(r["cluster"])
-        empty = [c for c in range(len(centres)) if c not in seen]
-        if empty:
-            far = told.orderBy(F.col("sq_distance").desc(), id_col).select(vector).limit(len(empty)).collect()
+        k, d = centres.shape
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k, d + 2))  # rows, weight and weighted sums of each cluster
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, w = stacked(batch.column(0)), batch.column(1).to_numpy()
+                own = nearest_rows(x, centres)
+                z = np.hstack([np.ones((len(x), 1)), w[:, None], x * w[:, None]])
+                for c in np.unique(own):
+                    total[c] += z[own == c].sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["cells"])
+
+        rows = df.where(F.col(vector).isNotNull()).select(vector, weight.cast("double").alias("_w"))
+        cells = rows.mapInArrow(partial, "cells array<double>").select(F.posexplode("cells").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+        if not cells:
+            return centres
+        sums = np.array([r["v"] for r in cells]).reshape(k, d + 2)
+        new = np.where(sums[:, 1:2] > 0, sums[:, 2:] / np.maximum(sums[:, 1:2], 1e-300), centres)
+        empty = np.flatnonzero(sums[:, 0] == 0)
+        if len(empty):
+            far = assign(df, vector, centres).orderBy(F.col("sq_distance").desc(), id_col).select(vector).limit(len(empty)).collect()
             for c, r in zip(empty, far, strict=False):
                 new[c] = r[0]
         return new

@@ -81,6 +81,7 @@ class Tree:
                 for c in sorted(set(cuts), reverse=True):
                     at = F.when(F.col(f) <= c, F.lit(c)).otherwise(at)
                 rows = rows.withColumn(f, at)
+        rows = rows.persist()
         self.classes = sorted(r[0] for r in rows.select(self.label).where(F.col(self.label).isNotNull()).distinct().collect())
         growing = {1}
         for _ in range(self.max_depth):
@@ -93,6 +94,7 @@ class Tree:
         counts = rows.withColumn("_node", self.node()).groupBy("_node", self.label).agg(F.count(F.lit(1)).alias("n"))
         best = counts.groupBy("_node").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(self.label).alias("label"))).alias("b"))
         self.leaves = {r["_node"]: r["b"]["label"] for r in best.collect()}
+        rows.unpersist()
         return self
 
     def predict(self) -> Column:
