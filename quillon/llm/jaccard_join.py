@@ -145,7 +145,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     now = stored(edges.where("a < b").distinct(), name)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a table of its own, so that Spark may split the side of a node with very many neighbours
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = both.join(least, "u").where("v > u and m < v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         small_least = down.groupBy("u").agg(F.min("v").alias("m"))
