@@ -109,15 +109,16 @@ def _threshold(rows):
     return rows.select("l_orderkey").distinct().count() // 40
 
 
-@query(
-    "frequent_itemsets",
+FREQUENT = (
     SETS
     + """, s1 AS (SELECT [item] AS items, count(*) AS n FROM b GROUP BY item HAVING count(*) >= (SELECT th FROM t)),
     s2 AS (SELECT [x.item, y.item] AS items, count(*) AS n FROM b x JOIN b y ON x.tx = y.tx AND x.item < y.item GROUP BY x.item, y.item HAVING count(*) >= (SELECT th FROM t)),
     s3 AS (SELECT [x.item, y.item, z.item] AS items, count(*) AS n FROM b x JOIN b y ON x.tx = y.tx AND x.item < y.item JOIN b z ON z.tx = x.tx AND z.item > y.item GROUP BY x.item, y.item, z.item HAVING count(*) >= (SELECT th FROM t)),
-    a AS (SELECT '' AS items, (SELECT count(DISTINCT tx) FROM b) AS n UNION ALL SELECT array_to_string(items, ','), n FROM s1 UNION ALL SELECT array_to_string(items, ','), n FROM s2 UNION ALL SELECT array_to_string(items, ','), n FROM s3)
-    SELECT items, n FROM a""",
+    a AS (SELECT []::VARCHAR[] AS items, (SELECT count(DISTINCT tx) FROM b) AS n UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
 )
+
+
+@query("frequent_itemsets", FREQUENT + " SELECT array_to_string(items, ',') AS items, n FROM a")
 def frequent_itemsets(spark, sf_dir):
     """Sets of up to three brands in one order of 40 or more."""
     rows = baskets(spark, sf_dir)
@@ -125,7 +126,7 @@ def frequent_itemsets(spark, sf_dir):
     return found.select(F.array_join("items", ",").alias("items"), "n")
 
 
-@query("closed_itemsets")
+@query("closed_itemsets", FREQUENT + " SELECT array_to_string(items, ',') AS items, n FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.n = x.n AND len(y.items) = len(x.items) + 1 AND list_has_all(y.items, x.items))")
 def closed_itemsets(spark, sf_dir):
     """G12"""
     rows = baskets(spark, sf_dir)
