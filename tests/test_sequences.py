@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.operators import alignment, folding, hmm, sampling, scode
+from quillon.operators import alignment, folding, hmm, scode
 from quillon.operators import strings as S
 from quillon.operators.sequences import runs
 
