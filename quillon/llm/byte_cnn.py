@@ -9,8 +9,8 @@ the text is an input.
 
 A filter's response is a sum of one table row for each of its bytes (byte vector times filter slice), so scoring
 is WIDTH gathers for each position. Only the positions that won their chunk carry gradient, so training costs
-little more than scoring. Training runs on the driver over a bounded sample of labelled rows; scoring runs in
-Arrow batches, a bounded slice of a text at a time.
+little more than scoring. Training runs on the driver over every byte of a bounded number of labelled rows;
+scoring runs in Arrow batches. Both look at a bounded slice of a text at a time.
 """
 
 from __future__ import annotations
@@ -87,6 +87,17 @@ def segment_maxima(tables: np.ndarray, data: np.ndarray, segments: int) -> np.nd
     return np.concatenate(parts)
 
 
+def segment_winners(tables: np.ndarray, data: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """segment_maxima, and the first position in its segment at which each filter reaches it."""
+    top, where = [], []
+    for first in range(0, segments, BLOCK):
+        last = min(segments, first + BLOCK)
+        all_ = responses(tables, data[first * SEGMENT : last * SEGMENT + WIDTH], last - first)
+        where.append(all_.argmax(axis=1))
+        top.append(np.take_along_axis(all_, where[-1][:, None, :], 1)[:, 0])
+    return np.concatenate(top), np.concatenate(where)
+
+
 def features(top: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunk responses from segment maxima, and the document's (greatest, mean) features."""
     chunks = np.maximum(top[:-1], top[1:]) if len(top) > 1 else top
@@ -101,11 +112,11 @@ def score(net: Network, raw: bytes, tables: np.ndarray | None = None) -> float:
     return float(1 / (1 + np.exp(-np.clip(doc @ net.out + net.shift, -30, 30))))
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 14, batch: int = 16, rate: float = 4e-3, least_steps: int = 1_500, most_segments: int = 24, seed: int = 10) -> Network:
+def train(texts: list[bytes], labels: list[int], epochs: int = 14, batch: int = 16, rate: float = 4e-3, least_steps: int = 1_500, seed: int = 10) -> Network:
     """Fit by Adam on the logistic loss, with more epochs if they would make fewer than least_steps steps.
 
-    A long training text shows most_segments segments, in pairs spread over all of it (scoring sees every byte).
-    With one class only the probability is that class's. The result depends on the order of the rows and on seed.
+    Every byte of every text is trained on, as it is scored. With one class only the probability is that class's. The result
+    depends on the order of the rows and on seed.
     """
     rng = np.random.default_rng(seed)
     net = Network(
@@ -120,14 +131,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 14, batch: int =
         net.out[:] = 0
         net.shift = 10.0 if set(labels) == {1} else -10.0 if labels else 0.0
         return net
-    shown = []
-    for raw in texts:
-        data, segments = padded(raw)
-        if segments > most_segments:
-            starts = np.linspace(0, segments - 2, most_segments // 2).astype(int)
-            data = np.concatenate([*(data[s * SEGMENT : (s + 2) * SEGMENT] for s in starts), data[-WIDTH:]])
-            segments = 2 * len(starts)
-        shown.append((data, segments))
+    shown = [padded(raw) for raw in texts]
     names = ("vectors", "echo", "filters", "bias", "out", "shift")
     first = {k: np.zeros_like(getattr(net, k), dtype=float) for k in names}
     second = {k: np.zeros_like(getattr(net, k), dtype=float) for k in names}
@@ -157,9 +161,7 @@ def _gradients(net: Network, rows: list[tuple[np.ndarray, int]], y: np.ndarray)
     tables, symbols = net.tables(), net.symbols()
     out = {"vectors": np.zeros_like(net.vectors), "echo": np.zeros_like(net.echo), "filters": np.zeros_like(net.filters), "bias": np.zeros_like(net.bias), "out": 1e-4 * net.out, "shift": np.zeros(())}
     for (data, segments), want in zip(rows, y, strict=True):
-        all_ = responses(tables, data, segments)
-        where = all_.argmax(axis=1)
-        top = np.take_along_axis(all_, where[:, None, :], 1)[:, 0]
+        top, where = segment_winners(tables, data, segments)
         chunks, doc = features(top, net.bias)
         err = (1 / (1 + np.exp(-np.clip(doc @ net.out + net.shift, -30, 30))) - want) / len(rows)
         out["out"] = out["out"] + err * doc
@@ -175,19 +177,21 @@ def _gradients(net: Network, rows: list[tuple[np.ndarray, int]], y: np.ndarray)
             np.add(d_top[1:], np.where(left, 0, d_chunks), out=d_top[1:])
         else:
             d_top += d_chunks
-        seg, fil = np.nonzero(d_top)
-        if not len(seg):
-            continue
-        grad = d_top[seg, fil]
-        starts = seg * SEGMENT + where[seg, fil] * STRIDE
-        for w in range(WIDTH):
-            seen = data[starts + w]
-            # by (symbol, filter), then through the product symbols x filters
-            cell = np.bincount(seen.astype(np.int64) * FILTERS + fil, grad, (PAD + 1) * FILTERS).reshape(PAD + 1, FILTERS)
-            back = cell[:PAD] @ net.filters[w].T
-            out["vectors"] += back[:256] + back[256:]
-            out["echo"] += back[256:].sum(axis=0)
-            out["filters"][w] += symbols.T @ cell
+        for at in range(0, segments, BLOCK):
+            seg, fil = np.nonzero(d_top[at : at + BLOCK])
+            if not len(seg):
+                continue
+            seg += at
+            grad = d_top[seg, fil]
+            starts = seg * SEGMENT + where[seg, fil] * STRIDE
+            for w in range(WIDTH):
+                seen = data[starts + w]
+                # by (symbol, filter), then through the product symbols x filters
+                cell = np.bincount(seen.astype(np.int64) * FILTERS + fil, grad, (PAD + 1) * FILTERS).reshape(PAD + 1, FILTERS)
+                back = cell[:PAD] @ net.filters[w].T
+                out["vectors"] += back[:256] + back[256:]
+                out["echo"] += back[256:].sum(axis=0)
+                out["filters"][w] += symbols.T @ cell
     return out
 
 
@@ -196,11 +200,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int, max_chars: int = 65_536) -> list[tuple[int, bytes]]:
-    """(label, text) of at most max_rows labelled rows that may teach, those whose hashed key is smallest, in that order.
-
-    To bound the driver's memory a training text longer than max_chars shows its beginning, middle and end.
-    """
+def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int) -> list[tuple[int, bytes]]:
+    """(label, whole text) of at most max_rows labelled rows that may teach, those whose hashed key is smallest, in that order."""
     few = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
         .groupBy(F.col(key).alias("_k"))
@@ -208,11 +209,7 @@ def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, ma
         .orderBy(F.xxhash64("_k"), "_k")
         .limit(max_rows)
     )
-    third = max_chars // 3
-    whole = F.coalesce(F.col(text), F.lit(""))
-    middle = (F.length(whole) / 2 - third / 2).cast("int")
-    shown = F.when(F.length(whole) <= max_chars, whole).otherwise(F.concat(F.substring(whole, 1, third), F.substr(whole, middle, F.lit(third)), F.substring(whole, -third, third)))
-    rows = df.select(F.col(key).alias("_k"), shown.alias("_text")).join(F.broadcast(few), "_k")  # max_rows pairs of numbers
+    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(few), "_k")  # max_rows pairs of numbers
     found = rows.select(F.xxhash64("_k").alias("_h"), "_k", "_label", "_text").collect()
     return [(r._label, r._text.encode("utf-8")) for r in sorted(found, key=lambda r: (r._h, r._k, r._text))]
 

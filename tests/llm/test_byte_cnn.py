@@ -61,3 +61,26 @@ def test_odd_rows(spark):
     assert [r.held_out for r in found if r.doc_id is None] == [True]
     assert b.classify(df.limit(0), b.fit(df.limit(0), labels)).collect() == []
     assert b.train([], []).shift == 0.0
+
+
+def test_training_sees_every_byte(monkeypatch):
+    rng = np.random.default_rng(4)
+    clean = [bytes(rng.integers(97, 123, 60 * b.SEGMENT, dtype=np.uint8)) for _ in range(8)]
+    junk = b"#$%&!" * (2 * b.SEGMENT // 5)
+    first = 3 * b.SEGMENT - len(junk) // 2  # a few segments of sixty, and not the first ones or the last
+    spoilt = [t[:first] + junk + t[first + len(junk) :] for t in clean]
+    net = b.train([*clean, *spoilt], [1] * 8 + [0] * 8, least_steps=200)
+    assert min(b.score(net, t) for t in clean) > 0.9 and max(b.score(net, t) for t in spoilt) < 0.1
+    rows, y = [b.padded(t) for t in (clean[0], spoilt[0])], np.array([1.0, 0.0])
+    whole = b._gradients(net, rows, y)
+    monkeypatch.setattr(b, "BLOCK", 7)
+    sliced = b._gradients(net, rows, y)
+    assert all(np.allclose(whole[k], sliced[k]) for k in whole)
+
+
+def test_training_texts_are_whole(spark):
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(30_000))
+    df = spark.createDataFrame([("s", i, text, "en") for i in (1, 2, 3)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = b.sample(df, labels, "doc_id", "text", "quality", 3)
+    assert seen and all(raw == text.encode() for _, raw in seen)
