@@ -153,12 +153,13 @@ def cluster_accuracy(df: DataFrame, truth: str, cluster: str) -> float:
 def epsilon_pairs(df: DataFrame, id_col: str, vector: str, eps: float, dims: int) -> DataFrame:
     """(a, b) ids within eps of each other, both ways and each with itself: a band join over grid cells.
 
-    Cells have side eps, so partners lie in the 3^dims cells around; rows go to one cell and are compared with
+    Distances are those of whole vectors. The grid is laid over the first dims components only, which are never
+    farther apart than the vectors: cells have side eps, so partners lie in the 3^dims cells around; rows go to one cell and are compared with
     copies dealt to the neighbours. A cell that holds a large share of all rows makes the square of it in pairs,
     as the definition of a neighbourhood has it.
     """
     cells = F.transform(F.slice(vector, 1, dims), lambda x: F.floor(x / F.lit(eps)))
-    rows = df.select(F.col(id_col).alias("id"), F.slice(vector, 1, dims).alias("v"), cells.alias("cell"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), cells.alias("cell"))
     around = rows
     for d in range(dims):
         shift = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
@@ -176,7 +177,7 @@ def dbscan(df: DataFrame, id_col: str, vector: str, eps: float = 0.5, min_sample
     """(id, core, cluster): clusters are numbered by their least core id, noise is -1.
 
     A row is core if min_samples rows, itself included, lie within eps. Core rows within eps share a cluster; a
-    border row joins the lowest-numbered cluster next to it.
+    border row joins the lowest-numbered cluster next to it. Vectors count whole; dims is that of the search grid.
     """
     near = epsilon_pairs(df, id_col, vector, eps, dims)
     core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))

@@ -81,7 +81,7 @@ NEAR = f"{E}, n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE (a.v
 
 @query("dbscan_core", f"WITH {NEAR} SELECT vec_id, vec_id IN (SELECT id FROM core) AS core, (SELECT count(*) FROM n WHERE a = vec_id) AS neighbours FROM e")
 def dbscan_core(spark, sf_dir):
-    near = C.epsilon_pairs(embeddings(spark, sf_dir), "vec_id", "v", 0.02, 2)
+    near = C.epsilon_pairs(_plane(spark, sf_dir), "vec_id", "x", 0.02, 2)
     counts = near.groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("neighbours"))
     return counts.select("vec_id", (F.col("neighbours") >= 4).alias("core"), "neighbours")
 
@@ -95,7 +95,7 @@ def dbscan_core(spark, sf_dir):
     FROM e LEFT JOIN numbered r ON r.id = vec_id""",
 )
 def dbscan_labels(spark, sf_dir):
-    return C.dbscan(embeddings(spark, sf_dir), "vec_id", "v", 0.02, 4)
+    return C.dbscan(_plane(spark, sf_dir), "vec_id", "x", 0.02, 4)
 
 
 # -- mixtures over the first two components

@@ -172,6 +172,31 @@ def test_clusterings_find_separate_slices(spark):
     assert clustering.initial_centres(df, "id", "features", 4, "random").shape == (4, 2)
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_dbscan_measures_whole_vectors(spark, dims):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 0.05, (120, 64))
+    x[:, 2:] += rng.integers(0, 4, (120, 1))  # groups that the first two components do not tell apart
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    eps, least = 0.55, 4
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    pairs = clustering.epsilon_pairs(df, "id", "v", eps, dims).collect()
+    assert sorted((r.a, r.b) for r in pairs) == sorted(zip(*map(list, near.nonzero()), strict=True))
+    core, label, clusters = near.sum(1) >= least, np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo, label[i] = [i], clusters
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                    label[j] = clusters
+                    todo.append(j)
+            clusters += 1
+    want = [int(label[i]) if core[i] else min(label[near[i] & core].tolist(), default=-1) for i in range(len(x))]
+    found = {r.id: (r.core, r.cluster) for r in clustering.dbscan(df, "id", "v", eps, least, dims).collect()}
+    assert found == {i: (bool(core[i]), want[i]) for i in range(len(x))}
+    assert clusters > 1 and 0 < core.sum() < len(x)
+
+
 def test_empty_cluster_takes_a_far_row(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id int, v array<double>")
     model = clustering.KMeans(init=np.array([[4.5], [1e6]]), max_iter=1).fit(df, "id", "v")
