@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import mining as M
 from quillon.operators import sampling
+from quillon.queries import QUERIES
 
 
 def test_bloom_has_no_false_negative(spark):
@@ -81,6 +82,19 @@ def test_itemsets_against_enumeration(spark, method):
         M.frequent_itemsets(df, "tx", "item", 6, "some")
 
 
+@pytest.mark.parametrize("method", ["all", "closed"])
+def test_itemset_queries_have_no_size_limit(spark, tmp_path, method):
+    rng = random.Random(5)
+    brands = ["a", "b", "c", "d", "e", "f"]
+    tx = [{"a", "b", "c", "d", "e"} if i % 10 == 0 else set(rng.sample(brands, rng.randrange(1, 4))) for i in range(200)]
+    spark.createDataFrame([(i, brands.index(x)) for i, t in enumerate(tx) for x in t], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(list(enumerate(brands)), "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    name = {"all": "frequent_itemsets", "closed": "closed_itemsets"}[method]
+    got = {r["items"]: r.n for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    want = brute_itemsets(tx, 5, method == "closed")
+    assert got == {",".join(s): n for s, n in want.items()} and max(map(len, want)) == 5
+
+
 def breadth_first(start, goal):
     seen, queue = {start: 0}, deque([start])
     while queue:
