@@ -218,11 +218,11 @@ def critical_false_positives(nodes: DataFrame, bloom: Bloom, bits: DataFrame, al
     return claimed.join(nodes, "kmer", "left_anti")
 
 
-def assemble(starts: DataFrame, nodes: DataFrame, max_len: int = 100) -> DataFrame:
+def assemble(starts: DataFrame, nodes: DataFrame, max_len: int | None = 100) -> DataFrame:
     """(start, sequence): extension to the right from each start while exactly one extension is a k-mer.
 
     All starts grow together: a step is one join of the frontier with the k-mers. A start stops at a fork, an end,
-    a k-mer seen before on its way, or max_len characters.
+    a k-mer seen before on its way, or max_len characters (None: no bound; what was seen ends every path).
     """
     alphabet = "".join(r[0] for r in nodes.select(F.explode(F.split("kmer", "")).alias("c")).where("c <> ''").distinct().orderBy("c").collect())
     frontier = starts.select(F.col("kmer").alias("start"), F.col("kmer").alias("last"), F.col("kmer").alias("sequence"), F.array("kmer").alias("seen"))
@@ -231,7 +231,7 @@ def assemble(starts: DataFrame, nodes: DataFrame, max_len: int = 100) -> DataFra
         asked = frontier.select("*", F.explode(F.array(*map(F.lit, alphabet))).alias("c")).withColumn("next", F.concat(F.substr("last", F.lit(2)), F.col("c")))
         hits = asked.join(nodes.select(F.col("kmer").alias("next")), "next").groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("next"), F.first("c").alias("c"))
         moved = frontier.join(hits, "start", "left")
-        goes = F.coalesce((F.col("n") == 1) & ~F.array_contains("seen", F.col("next")) & (F.length("sequence") < max_len), F.lit(False))
+        goes = F.coalesce((F.col("n") == 1) & ~F.array_contains("seen", F.col("next")) & (F.lit(True) if max_len is None else F.length("sequence") < max_len), F.lit(False))
         moved = stored(moved.withColumn("goes", goes), "assemble")
         stopped = moved.where("not goes").select("start", "sequence")
         done = stopped if done is None else done.union(stopped)

@@ -93,7 +93,7 @@ def debruijn_false_positives(spark, sf_dir):
 def debruijn_assemble(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     nodes = M.kmer_rows(part, "p_name", 4)
-    return M.assemble(M.debruijn_sources(nodes, M.debruijn_edges(part, "p_name", 4)), nodes, 40)
+    return M.assemble(M.debruijn_sources(nodes, M.debruijn_edges(part, "p_name", 4)), nodes, None)
 
 
 def baskets(spark, sf_dir):

@@ -58,6 +58,14 @@ def test_debruijn_assembles_reads(spark):
     assert wrong.join(nodes, "kmer").isEmpty()
 
 
+def test_assemble_query_follows_long_paths(spark, tmp_path):
+    rng = random.Random(2)
+    name = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    assert len({name[i : i + 3] for i in range(58)}) == 58  # no fork, no k-mer twice
+    spark.createDataFrame([(name,)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [r.sequence for r in QUERIES["debruijn_assemble"](spark, str(tmp_path)).collect()] == [name]
+
+
 def brute_itemsets(tx, threshold, closed):
     items = sorted({i for t in tx for i in t})
     found = {}
