@@ -146,3 +146,85 @@ def test_whole_table(spark):
     want = dict(zip([k for k, _ in texts], brute([t for _, t in texts]), strict=True))
     for r in s.remove_repeats(docs).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+
+
+def brute_passages(texts):
+    n = s.WORDS.window
+    split = [(t or "").encode().split() for t in texts]
+    places = {}
+    for d, words in enumerate(split):
+        for i in range(len(words) - n + 1):
+            places.setdefault(tuple(words[i : i + n]), []).append((d, i))
+    hit = [np.zeros(len(w) + 1, bool) for w in split]
+    for found in places.values():
+        if len(found) > 1:
+            for d, i in found:
+                hit[d][i : i + n] = True
+    return [(int((h[1:] & ~h[:-1]).sum() + h[0]), int(h.sum())) for h in hit]
+
+
+def passages_agree(spark, texts):
+    rows = [("x", i, t, 0, "k") for i, t in enumerate(texts)]
+    found = s.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = brute_passages(texts)
+    assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in found} == dict(enumerate(want))
+    return want
+
+
+def test_passages_of_words(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    shared = [text(50), text(51), text(52), text(80)]
+    texts = [text(rng.randrange(0, 60)) + ("\t" if i % 2 else " \n ") + shared[i % 4] + " " + text(rng.randrange(0, 40)) for i in range(40)]
+    texts += [None, "", "one", "a " * 50, "a " * 52, text(300) + " x" * 51, shared[3], shared[3]]
+    want = passages_agree(spark, texts)
+    assert sum(n > 0 for n, _ in want) > 25 and sum(n == 0 for n, _ in want) > 5
+    passages_agree(spark, corpus(2))
+
+
+def test_hot_groups_are_cut_in_halves(spark, monkeypatch):
+    """One passage in many surroundings, in groups of a few segments at most."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(90)
+    texts = [text(12) + " " + passage + " " + text(12) for _ in range(60)] + [passage[: -i - 1] + "#" + text(30) for i in range(40)]
+    largest = []
+    judged = s._judged
+    monkeypatch.setattr(s, "_judged", lambda members: largest.append(judged(members)) or largest[-1])
+    monkeypatch.setattr(s, "HOT", 4_000)
+    check(spark, texts)
+    passages_agree(spark, texts)
+    assert len(largest) > 4
+    assert largest[0].agg({"volume": "max"}).first()[0] > 4_000
+    monkeypatch.setattr(s, "HOT", 0)
+    check(spark, texts + corpus(3))
+    passages_agree(spark, texts + corpus(3))
+
+
+def test_many_surroundings_meet_in_bounded_groups(spark):
+    """20,000 different surroundings of one passage: no group that is merged has more than HOT bytes."""
+    passage = " ".join(f"w{i}" for i in range(120))
+    docs = spark.range(20_000).selectExpr("id AS doc_id", f"concat(sha2(concat('a', id), 512), ' {passage} ', sha2(concat('b', id), 512)) AS text")
+    levels = []
+    grouped = s._grouped
+    try:
+        s._grouped = lambda bodies: levels.append(grouped(bodies)) or levels[-1]
+        found = s.remove_repeats(docs).where("n_spans <> 1 OR n_removed < " + str(len(passage))).count()
+    finally:
+        s._grouped = grouped
+    assert found == 0 and len(levels[0]) > 1
+    assert all(not j.where(f"kinds > 1 AND volume > {s.HOT}").count() for _, j in levels[0])
+
+
+@pytest.mark.parametrize("stride", [1 << 22, 50])
+def test_word_hashes(monkeypatch, stride):
+    monkeypatch.setattr(s, "STRIDE", stride)
+    rng = random.Random(3)
+    raw = "".join(rng.choice("ab é\t\n\x0b  ") for _ in range(3_000)).encode()
+    names = s.word_hashes(raw)
+    split = raw.split()  # of bytes: the same white space
+    assert len(names) == len(split)
+    known = dict(zip(split, names.tolist(), strict=True))
+    assert len(set(known.values())) == len(known) and all(known[w] == h for w, h in zip(split, names.tolist(), strict=True))
+    assert len(s.word_hashes(b"")) == len(s.word_hashes(b" \n ")) == 0
