@@ -1,69 +1,5 @@
-"""A corpus pipeline of five stages, each over all rows that its predecessor kept.
+"""A corpus pipeline of five stages, each over all rows that its predecessor kept: see quillon/llm/stages.py."""
 
-A stage is (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
-"""
+from quillon.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillon.core.session import shipped
-from quillon.llm import byte_cnn, exact_dedup, jaccard_join, mixing, piece_codec
-from quillon.llm._shared import documents, stored
-from quillon.llm.catalog import piece_model
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-@shipped
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte network finds good, label 1 likelier than not."""
-    net = byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return byte_cnn.classify(docs, net, carry=tuple(COLUMNS)).where(F.col("predicted") == 1).select(*COLUMNS)
-
-
-@shipped
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_dedup.kept_rows(docs.select(*COLUMNS))
-
-
-@shipped
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five words, similarity 0.8 or more."""
-    return jaccard_join.kept_rows(docs.select(*COLUMNS))
-
-
-@shipped
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources: whole documents, as often as they are taken, in output shards."""
-    mixed = mixing.mix(docs.select(*COLUMNS), whole=True, carry=("text", "lang", "n_chars"))
-    return mixing.materialise(mixed, COLUMNS).select(*COLUMNS)
-
-
-@shipped
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mixture, with the digests that prove the round trip."""
-    return piece_codec.encode(docs, piece_model())
-
-
-STAGES = [
-    ("quality classifier", quality),
-    ("exact dedup", exact),
-    ("n-gram Jaccard join", near),
-    ("mixing sources to target weights", mix),
-    ("SentencePiece encoding", encode),
-]
-
-#: SQL expresses neither the network nor the tokens; tests hold the stages against brute force instead.
-ORACLE_SQL = None
-
-
-@shipped
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

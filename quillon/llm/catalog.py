@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import byte_cnn, exact_dedup, jaccard_join, mixing, piece_codec, quality_rules, sharding, suffix_dedup, toxicity, warc
+from quillon.llm import byte_cnn, exact_dedup, jaccard_join, mixing, piece_codec, quality_rules, sharding, stages, suffix_dedup, toxicity, warc
 from quillon.llm._shared import documents
 
 
@@ -38,15 +38,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
-def piece_model() -> str:
-    """Where the public 32k model file lies; every caller may name another."""
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode(documents(spark, sf_dir), piece_model(), keep_ids=False)
+    return piece_codec.encode(documents(spark, sf_dir), stages.piece_model(), keep_ids=False)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +56,6 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(docs, byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_byte_cnn": op10_byte_cnn,
-    "pipeline": pipeline,
+    "pipeline": stages.run,
 }
 
 ORACLE: dict[str, str] = {
