@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.core import scratch
+
 #: Rows that Spark hands to a Python worker at a time while a stored table is made: texts may be long.
 ARROW_ROWS = 1_000
 ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,32 +39,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " "), "")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        root = getattr(spark.sparkContext, "_quillon_scratch", None)
-        if root is None:
-            root = tempfile.mkdtemp(prefix="quillon-")
-            spark.sparkContext._quillon_scratch = root
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
 
     While it is written Arrow batches hold ARROW_ROWS rows at most; the session's own setting is put back.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(ARROW_CONF)
     spark.conf.set(ARROW_CONF, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        return scratch.stored(df, name)
     finally:
         spark.conf.set(ARROW_CONF, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def one_each(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row for each value of key, the least by the columns: repeated keys do not add rows to a bounded sample."""
+    return rows.groupBy(key).agg(F.min(F.struct(*columns)).alias("_row")).select(key, "_row.*")
 
 
 #: Ids up to which a side of a join is broadcast, some 3 MB; beyond it the join shuffles.

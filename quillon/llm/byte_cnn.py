@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import tidied
+from quillon.llm._shared import one_each, tidied
 
 #: Filter width and step in bytes, bytes in a segment (a chunk is two), filters, numbers in a byte's vector.
 WIDTH, STRIDE, SEGMENT, FILTERS, VECTOR = 8, 2, 256, 24, 8
@@ -201,7 +201,10 @@ def held_out(key: Column) -> Column:
 
 
 def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int) -> list[tuple[int, bytes]]:
-    """(label, whole text) of at most max_rows labelled rows that may teach, those whose hashed key is smallest, in that order."""
+    """(label, whole text) of at most max_rows labelled keys that may teach, those whose hash is smallest, in that order.
+
+    Of rows with the same key the one with the least text teaches.
+    """
     few = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
         .groupBy(F.col(key).alias("_k"))
@@ -210,7 +213,7 @@ def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, ma
         .limit(max_rows)
     )
     rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(few), "_k")  # max_rows pairs of numbers
-    found = rows.select(F.xxhash64("_k").alias("_h"), "_k", "_label", "_text").collect()
+    found = one_each(rows, "_k", "_text", "_label").select(F.xxhash64("_k").alias("_h"), "_k", "_label", "_text").collect()
     return [(r._label, r._text.encode("utf-8")) for r in sorted(found, key=lambda r: (r._h, r._k, r._text))]
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import SPACE, WORD, let, spaced
+from quillon.llm._shared import SPACE, WORD, let, one_each, spaced
 
 #: The numbers that a rule may test, each a Column of the statistics below.
 MEASURES = ("n_words", "mean_word_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "words_a_line")
@@ -196,7 +196,8 @@ def learn(rows: list[dict], label: str = "quality", cuts: int = 48, max_rules: i
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> DecisionList:
     """Learn from at most max_rows labelled rows, those whose hashed key is smallest (a bounded, repeatable sample).
 
-    Labelled keys without a document, and null labels or keys, teach nothing. The sample is at most max_rows
+    Labelled keys without a document, and null labels or keys, teach nothing; of rows with the same key the one with
+    the least text does. The sample is at most max_rows
     pairs of numbers, so it can be broadcast; texts outside it are not measured here.
     """
     sample = (
@@ -207,6 +208,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         .limit(max_rows)
     )
     chosen = df.select(F.col(key).alias("_labelled"), F.col(text).alias("_text")).join(F.broadcast(sample), "_labelled")
+    chosen = one_each(chosen, "_labelled", "_text")
     measured = statistics(chosen, "_labelled", "_text").join(F.broadcast(sample), "_labelled")
     measured = measured.select(*(F.col(m).cast("double").alias(m) for m in MEASURES), F.col("_label").alias(label), F.pmod(F.xxhash64(F.lit(7), "_labelled"), F.lit(3)).cast("int").alias("fold"))
     return learn(sorted((r.asDict() for r in measured.collect()), key=lambda r: tuple(r[m] for m in MEASURES)), label)

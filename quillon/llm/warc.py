@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -168,11 +171,10 @@ def parse(raw: bytes) -> Iterator[dict]:
     """The records of an uncompressed or gzip (one member a record, or one in all) WARC file, in order.
 
     Types other than response and revisit are passed over. A record whose lengths do not fit ends the file:
-    what came before it is kept. Header names are lower-cased; of repeated ones the last counts.
+    what came before it is kept, in a gzip file that is cut or damaged too. Header names are lower-cased; of repeated
+    ones the last counts.
     """
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    data = io.BytesIO(raw)
+    data = io.BytesIO(_unzipped(raw) if raw[:2] == b"\x1f\x8b" else raw)
     while True:
         line = data.readline()
         while line in (b"\r\n", b"\n"):
@@ -180,11 +182,11 @@ def parse(raw: bytes) -> Iterator[dict]:
         if not line.startswith(b"WARC/"):
             return
         head = _headers(data)
-        try:
-            body = data.read(int(head.get("content-length", "")))
-        except ValueError:
+        length = head.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
             return
-        if len(body) < int(head["content-length"]):
+        body = data.read(int(length))
+        if len(body) < int(length):
             return
         if head.get("warc-type") not in ("response", "revisit"):
             continue
@@ -194,6 +196,21 @@ def parse(raw: bytes) -> Iterator[dict]:
         yield {"kind": head["warc-type"], "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": status, "headers": _headers(inner), "payload": inner.read()}
 
 
+def _unzipped(raw: bytes) -> bytes:
+    """What the members of a gzip file hold, up to the first that is cut or damaged."""
+    out, at = [], 0
+    while at < len(raw):
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            while not member.eof and at < len(raw):
+                some = raw[at : at + (1 << 16)]
+                out.append(member.decompress(some))
+                at += len(some) - len(member.unused_data)
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def _headers(data: io.BytesIO) -> dict[str, str]:
     out: dict[str, str] = {}
     for line in iter(data.readline, b""):
@@ -208,7 +225,7 @@ def _headers(data: io.BytesIO) -> dict[str, str]:
 
 def dump(record: dict) -> bytes:
     """One record as WARC/1.1 bytes; parse() gives it back."""
-    lines = [f"HTTP/1.1 {record['status']} x", *(f"{k}: {v}" for k, v in record["headers"].items()), "", ""]
+    lines = [f"HTTP/1.1 {record['status'] if record['status'] is not None else '-'} x", *(f"{k}: {v}" for k, v in record["headers"].items()), "", ""]
     body = "\r\n".join(lines).encode() + (record["payload"] or b"")
     head = ["WARC/1.1", f"WARC-Type: {record['kind']}", f"WARC-Target-URI: {record['url']}", f"WARC-Date: {record['date']}", "Content-Type: application/http", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
@@ -244,15 +261,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.col("file_no") * F.lit(1 << 31) + F.col("place")).alias("record_id"), "kind", "url", F.unix_timestamp(F.try_to_timestamp("date")).alias("ts"), "status", "headers", "payload")
 
 
-def write(records: DataFrame, path: str) -> None:
-    """records (kind, url, date, status, headers, payload) as WARC text, a binary row for each record, in Parquet files."""
+def write(records: DataFrame, path: str) -> int:
+    """records (kind, url, date, status, headers, payload) as WARC files under path, which read() takes; how many.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r | {"headers": dict(r["headers"] or [])} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([dump(r) for r in rows], pa.binary())], ["record"])
+    Each partition writes one file, a gzip member for each record, under a name of its own that it gets only when it is
+    whole; a task that is run again replaces it. path is a URI or a folder that the executors reach.
+    """
 
-    records.select("kind", "url", "date", "status", "headers", "payload").mapInArrow(run, "record binary").write.parquet(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        task, n = TaskContext.get(), 0
+        store.create_dir(folder, recursive=True)
+        name, draft = f"{folder}/part-{task.partitionId():06d}.warc.gz", f"{folder}/.part-{task.taskAttemptId()}.tmp"
+        with store.open_output_stream(draft, compression=None) as out:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    out.write(gzip.compress(dump(r | {"headers": dict(r["headers"] or [])})))
+                    n += 1
+        store.move(draft, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    told = records.select("kind", "url", "date", "status", "headers", "payload").mapInArrow(run, "n long")
+    return sum(r.n for r in told.collect())  # one row a partition
 
 
 def digest_columns(resolved: DataFrame) -> DataFrame:
