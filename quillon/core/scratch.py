@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (a single machine, tests)."""
+    """spark.checkpoint.dir, or a local folder where it is unset and all runs on one machine (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root is None:
         root = getattr(spark.sparkContext, "_quillon_scratch", None)
         if root is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="quillon-")
             spark.sparkContext._quillon_scratch = root
             spark.sparkContext.setCheckpointDir(root)
