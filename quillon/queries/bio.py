@@ -8,6 +8,7 @@ from quillon.core.session import table
 from quillon.operators import alignment, folding, scode
 from quillon.operators import strings as S
 from quillon.operators.sequences import gathered, runs
+from quillon.queries import _alignment_sql as oracle
 from quillon.queries._registry import embeddings, query, r6
 
 
@@ -189,21 +190,25 @@ def pairs_of_names(spark, sf_dir):
     return a.join(b, "p_partkey").select("p_partkey", F.col("p_name").alias("x"), "y")
 
 
-def _aligner(name, model):
-    @query(name)
+def _aligner(name, model, sql):
+    @query(name, sql)
     def run(spark, sf_dir):
-        return alignment.align_pairs(pairs_of_names(spark, sf_dir), model, "p_partkey", "x", "y")
+        """Score, columns (places as text, which any engine can compare) and the strings with their gaps."""
+        found = alignment.align_pairs(pairs_of_names(spark, sf_dir), model, "p_partkey", "x", "y")
+        places = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+        return found.select("p_partkey", r6(F.col("score")).alias("score"), places("x_idx").alias("x_places"), places("y_idx").alias("y_places"), "x_row", "y_row")
 
 
-_aligner("nw_align", alignment.Gotoh())
-_aligner("nw_align_backward", alignment.Gotoh(backward=True))
-_aligner("sw_align", alignment.Gotoh(local=True))
-_aligner("pair_hmm_align", alignment.PairHmm())
+_aligner("nw_align", alignment.Gotoh(), oracle.aligned(oracle.GOTOH))
+_aligner("nw_align_backward", alignment.Gotoh(backward=True), oracle.aligned(oracle.GOTOH, backward=True))
+_aligner("sw_align", alignment.Gotoh(local=True), oracle.aligned(oracle.GOTOH, local=True))
+_aligner("pair_hmm_align", alignment.PairHmm(), oracle.aligned(oracle.HMM))
 
 
-@query("pair_hmm_scores")
+@query("pair_hmm_scores", oracle.pair_probabilities())
 def pair_hmm_scores(spark, sf_dir):
-    return alignment.pair_scores(pairs_of_names(spark, sf_dir), alignment.PairHmm(), "p_partkey", "x", "y")
+    found = alignment.pair_scores(pairs_of_names(spark, sf_dir), alignment.PairHmm(), "p_partkey", "x", "y")
+    return found.select("p_partkey", r6(F.col("log_pair")).alias("log_pair"), r6(F.col("log_alignment")).alias("log_alignment"))
 
 
 @query("nussinov")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.core.session import table
 from quillon.operators import hmm as H
 from quillon.operators.sequences import gathered
+from quillon.queries import _hmm_sql as oracle
 from quillon.queries._registry import query, r6
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -120,44 +121,65 @@ def hmm_mck(spark, sf_dir):
 
 
 def _told(spark, model):
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(model.history)], "step int, log_likelihood double")
+    """The log likelihood at each step."""
+    return spark.createDataFrame([(i, round(float(s), 4) + 0.0) for i, s in enumerate(model.history)], "step int, log_likelihood double")
 
 
-@query("hmm_fit_multinomial")
+def _begun(k, seed=1):
+    """The parameters that a model of k states starts with: both sides of the comparison begin there."""
+    model = H.Hmm(k, seed=seed)
+    model.start(None, "obs")
+    return model.initial, model.transit
+
+
+def _emissions(k, m, seed=1):
+    return np.random.default_rng(seed + 1).dirichlet(np.ones(m), k)
+
+
+CODE = f"CASE event_type {' '.join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TYPES))} END AS o"
+#: First chances of success, named so that the SQL can name them too.
+THETA, THETA_MSS = np.array([0.35, 0.6]), 0.7
+
+
+@query("hmm_fit_multinomial", oracle.symbols(CODE, *_begun(3), _emissions(3, 5), 5))
 def hmm_fit_multinomial(spark, sf_dir):
-    """The log likelihood at each step."""
-    return _told(spark, H.Multinomial(3, seed=1).fit(symbols(spark, sf_dir), "obs", max_iter=5))
+    """H07, H11"""
+    return _told(spark, H.Multinomial(3, seed=1).fit(symbols(spark, sf_dir), "obs", max_iter=5, tol=0.0))
 
 
-@query("hmm_fit_bernoulli")
+@query("hmm_fit_bernoulli", oracle.symbols("(event_type = 'purchase')::INTEGER AS o", *_begun(2), _emissions(2, 2), 4))
 def hmm_fit_bernoulli(spark, sf_dir):
     """Purchases or not."""
     rows = symbols(spark, sf_dir).select("user_id", F.transform("obs", lambda o: (o == 2).cast("int")).alias("obs"))
-    return _told(spark, H.Bernoulli(2, seed=1).fit(rows, "obs", max_iter=4))
+    return _told(spark, H.Bernoulli(2, seed=1).fit(rows, "obs", max_iter=4, tol=0.0))
 
 
-@query("hmm_fit_binomial")
+@query("hmm_fit_binomial", oracle.binomial("least(floor(value / 10), 50)::INTEGER AS o", *_begun(2), THETA, 50, 4))
 def hmm_fit_binomial(spark, sf_dir):
     """Values in tens, as counts of 50 trials."""
     rows = gathered(table(spark, sf_dir, "events").withColumn("o", F.least(F.floor(F.col("value") / 10), F.lit(50)).cast("int")), "user_id", ["ts", "event_id"], "o")
-    return _told(spark, H.Binomial(2, trials=50, seed=1).fit(rows, "obs", max_iter=4))
+    return _told(spark, H.Binomial(2, trials=50, seed=1, theta=THETA).fit(rows, "obs", max_iter=4, tol=0.0))
 
 
-@query("hmm_fit_mss")
+@query("hmm_fit_mss", oracle.pairs("least(floor(value / 50), 10)::INTEGER AS m, 10 - least(floor(value / 50), 10)::INTEGER AS u", *_begun(2), THETA_MSS, 4))
 def hmm_fit_mss(spark, sf_dir):
     """Pairs of counts from the values' digits."""
     m = F.least(F.floor(F.col("value") / 50), F.lit(10)).cast("int")
     rows = gathered(table(spark, sf_dir, "events").withColumn("o", F.array(m, F.lit(10) - m)), "user_id", ["ts", "event_id"], "o")
-    return _told(spark, H.Mss(seed=1).fit(rows, "obs", max_iter=4))
+    return _told(spark, H.Mss(seed=1, theta=THETA_MSS).fit(rows, "obs", max_iter=4, tol=0.0))
+
+
+MEANS = np.array([[4.0, 2.0], [5.5, 5.0]])
 
 
 def _fit_gaussian(kind):
-    @query(f"hmm_fit_gaussian_{kind}")
+    @query(f"hmm_fit_gaussian_{kind}", oracle.gaussian("ln(value) AS x, value % 7 AS y", *_begun(2, 0), MEANS, kind, 3))
     def run(spark, sf_dir):
+        """H15"""
         x = F.array(F.ln("value"), F.pmod(F.col("value"), F.lit(7.0)))
         rows = gathered(table(spark, sf_dir, "events").withColumn("o", x), "user_id", ["ts", "event_id"], "o")
-        model = H.Gaussian(2, kind=kind, means=np.array([[4.0, 2.0], [5.5, 5.0]]), covars=H.covariance_as(np.eye(2), kind, 2))
-        return _told(spark, model.fit(rows, "obs", max_iter=3))
+        model = H.Gaussian(2, kind=kind, means=MEANS, covars=H.covariance_as(np.eye(2), kind, 2))
+        return _told(spark, model.fit(rows, "obs", max_iter=3, tol=0.0))
 
 
 for _kind in ("full", "tied", "diag", "spherical"):
