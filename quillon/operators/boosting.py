@@ -36,45 +36,58 @@ def l2_boost(df: DataFrame, outputs: list[str], y: str, rounds: int = 10) -> np.
     return alpha
 
 
+def _patterns(df: DataFrame, outputs: list[str], y: str) -> DataFrame:
+    """Rows that agree in all outputs and the label, counted once; kept, since every round sums over them."""
+    return df.groupBy(*(F.col(c).cast("double").alias(c) for c in outputs), F.col(y).cast("double").alias(y)).agg(F.count(F.lit(1)).alias("_n")).persist()
+
+
+def _score(outputs: list[str], alpha: np.ndarray) -> Column:
+    total = F.lit(0.0)
+    for c, a in zip(outputs, alpha, strict=True):
+        total = total + F.lit(float(a)) * F.col(c)
+    return total
+
+
 def ada_boost(df: DataFrame, outputs: list[str], y: str, rounds: int = 10) -> np.ndarray:
     """B03, an extension (only a constructor was asked for): AdaBoost over outputs and labels in {-1, 1}.
 
-    Rows that agree in all outputs and the label share a weight, so they are counted first: at most 2^(K+1)
-    patterns, whatever the rows.
+    A row's weight follows from the sum so far, exp(-y * sum of alpha h), so a round is one aggregation and only the
+    errors of the outputs come back.
     """
-    counts = df.groupBy(*outputs, y).agg(F.count(F.lit(1)).alias("_n")).collect()
-    h = np.array([[r[c] for c in outputs] for r in counts], float)
-    t, w = np.array([r[y] for r in counts], float), np.array([r["_n"] for r in counts], float)
-    w /= w.sum()
-    alpha = np.zeros(len(outputs))
+    rows, alpha = _patterns(df, outputs, y), np.zeros(len(outputs))
     for _ in range(rounds):
-        errors = ((h != t[:, None]) * w[:, None]).sum(0)
+        w = F.col("_n") * F.exp(-F.col(y) * _score(outputs, alpha))
+        sums = rows.agg(F.sum(w), *(F.sum(F.when(F.col(c) != F.col(y), w).otherwise(0.0)) for c in outputs)).first()
+        if sums[0] is None:
+            break
+        errors = np.array(sums[1:]) / sums[0]
         best = int(np.argmin(errors))
         e = float(np.clip(errors[best], 1e-12, 1 - 1e-12))
         if e >= 0.5:
             break
-        a = 0.5 * np.log((1 - e) / e)
-        alpha[best] += a
-        w = w * np.exp(-a * t * h[:, best])
-        w /= w.sum()
+        alpha[best] += 0.5 * np.log((1 - e) / e)
+    rows.unpersist()
     return alpha
 
 
 def logit_boost(df: DataFrame, outputs: list[str], y: str, rounds: int = 10) -> np.ndarray:
     """B04, an extension like B03: each round fits the working response of the logistic loss by one output.
 
-    Outputs are in {-1, 1}, labels too; the score is the sum of alpha h and P(y = 1) = 1 / (1 + exp(-2 score)).
+    Labels are in {-1, 1}; the score is the sum of alpha h and P(y = 1) = 1 / (1 + exp(-2 score)). A round is one
+    aggregation: the loss left by an output is sum w z^2 - (sum w z h)^2 / sum w h^2.
     """
-    counts = df.groupBy(*outputs, y).agg(F.count(F.lit(1)).alias("_n")).collect()
-    h = np.array([[r[c] for c in outputs] for r in counts], float)
-    t, n = (np.array([r[y] for r in counts], float) + 1) / 2, np.array([r["_n"] for r in counts], float)
-    alpha = np.zeros(len(outputs))
+    rows, alpha = _patterns(df, outputs, y), np.zeros(len(outputs))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-2 * h @ alpha))
-        w = np.maximum(p * (1 - p), 1e-10) * n
-        z = np.clip((t - p) * n / w, -4, 4)
-        fits = (w[:, None] * z[:, None] * h).sum(0) / (w[:, None] * h * h).sum(0)
-        losses = (w[:, None] * (z[:, None] - h * fits) ** 2).sum(0)
-        best = int(np.argmin(losses))
-        alpha[best] += fits[best] / 2
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * _score(outputs, alpha)))
+        working = rows.withColumn("_p", p).withColumn("_w", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-10)) * F.col("_n"))
+        z = ((F.col(y) + 1) / 2 - F.col("_p")) * F.col("_n") / F.col("_w")
+        working = working.withColumn("_z", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), z)))
+        wz = F.col("_w") * F.col("_z")
+        sums = working.agg(*(F.sum(wz * F.col(c)) for c in outputs), *(F.sum(F.col("_w") * F.col(c) * F.col(c)) for c in outputs)).first()
+        if sums[0] is None:
+            break
+        cross, size = np.array(sums[: len(outputs)]), np.maximum(np.array(sums[len(outputs) :]), 1e-300)
+        best = int(np.argmax(cross * cross / size))
+        alpha[best] += cross[best] / size[best] / 2
+    rows.unpersist()
     return alpha

@@ -8,7 +8,6 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +62,19 @@ def bloom_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
+def _digest_plan(bits: int, count: int) -> tuple[int, str, int]:
+    """(bytes of a number, digest, numbers of a digest)."""
+    width = 2 if bits <= 1 << 16 else 4 if bits <= 1 << 32 else 8
+    algorithm = next((name for name in ("md5", "sha1", "sha256", "sha384", "sha512") if hashlib.new(name).digest_size >= width * count), "sha512")
+    return width, algorithm, hashlib.new(algorithm).digest_size // width
+
+
 def digest_hashes(bits: int, count: int) -> Callable[[bytes], list[int]]:
     """Count numbers below bits for a key, cut from salted cryptographic digests.
 
     The digest is the shortest of md5, sha1, sha256, sha384 and sha512 that holds all numbers, or the longest.
     """
-    width = 2 if bits <= 1 << 16 else 4 if bits <= 1 << 32 else 8
-    algorithm = next((name for name in ("md5", "sha1", "sha256", "sha384", "sha512") if hashlib.new(name).digest_size >= width * count), "sha512")
-    per = hashlib.new(algorithm).digest_size // width
+    width, algorithm, per = _digest_plan(bits, count)
 
     def run(key: bytes) -> list[int]:
         out: list[int] = []
@@ -85,12 +89,20 @@ def digest_hashes(bits: int, count: int) -> Callable[[bytes], list[int]]:
 
 
 def digest_places(bits: int, count: int) -> Callable[[Column], Column]:
-    """G03 as a column of arrays."""
-    run = digest_hashes(bits, count)
+    """G03 as a column of arrays: the numbers of digest_hashes(), by Spark's own digests."""
+    width, algorithm, per = _digest_plan(bits, count)
+    digest = {"md5": F.md5, "sha1": F.sha1}.get(algorithm) or (lambda b: F.sha2(b, int(algorithm[3:])))
+
+    def places(item: Column) -> Column:
+        key = item.cast("string").cast("binary")
+        codes = [digest(F.concat(F.unhex(F.lit(salt.to_bytes(4, "little").hex())), key)) for salt in range(-(-count // per))]
 
-    @F.pandas_udf("array<bigint>")
-    def places(items: pd.Series) -> pd.Series:
-        return items.map(lambda x: None if x is None else run(str(x).encode()))
+        def number(i: int) -> Column:
+            code, at = codes[i // per], i % per * width
+            low_first = F.concat(*(F.substring(code, 2 * (at + b) + 1, 2) for b in reversed(range(width))))
+            return (F.conv(low_first, 16, 10).cast("decimal(20,0)") % F.lit(bits)).cast("long")
+
+        return F.when(item.isNotNull(), F.array(*map(number, range(count))))
 
     return places
 
@@ -218,24 +230,30 @@ def critical_false_positives(nodes: DataFrame, bloom: Bloom, bits: DataFrame, al
     return claimed.join(nodes, "kmer", "left_anti")
 
 
-def assemble(starts: DataFrame, nodes: DataFrame, max_len: int | None = 100) -> DataFrame:
-    """(start, sequence): extension to the right from each start while exactly one extension is a k-mer.
+def assemble(starts: DataFrame, nodes: DataFrame, max_len: int | None = None, false_positives: DataFrame | None = None, known: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(start, sequence): every trail to the right of each start, along all extensions that are k-mers.
+
+    All trails grow together: a step is one join of the frontier with the k-mers, and a trail that forks becomes several.
+    A trail ends where no extension is left; with max_len it also ends once it is longer than that, and without it a
+    k-mer seen before on the way is no extension, so that cycles end. There can be as many trails as forks multiply to.
 
-    All starts grow together: a step is one join of the frontier with the k-mers. A start stops at a fork, an end,
-    a k-mer seen before on its way, or max_len characters (None: no bound; what was seen ends every path).
+    k-mers are looked up in nodes, or as a filter holds them: known(candidates) gives those of a column `kmer` that the
+    filter claims, and false_positives those among them that are none.
     """
     alphabet = "".join(r[0] for r in nodes.select(F.explode(F.split("kmer", "")).alias("c")).where("c <> ''").distinct().orderBy("c").collect())
     frontier = starts.select(F.col("kmer").alias("start"), F.col("kmer").alias("last"), F.col("kmer").alias("sequence"), F.array("kmer").alias("seen"))
     done = None
     while True:
-        asked = frontier.select("*", F.explode(F.array(*map(F.lit, alphabet))).alias("c")).withColumn("next", F.concat(F.substr("last", F.lit(2)), F.col("c")))
-        hits = asked.join(nodes.select(F.col("kmer").alias("next")), "next").groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("next"), F.first("c").alias("c"))
-        moved = frontier.join(hits, "start", "left")
-        goes = F.coalesce((F.col("n") == 1) & ~F.array_contains("seen", F.col("next")) & (F.lit(True) if max_len is None else F.length("sequence") < max_len), F.lit(False))
-        moved = stored(moved.withColumn("goes", goes), "assemble")
-        stopped = moved.where("not goes").select("start", "sequence")
+        asked = frontier.select("*", F.explode(F.array(*map(F.lit, alphabet))).alias("c")).withColumn("kmer", F.concat(F.substr("last", F.lit(2)), F.col("c")))
+        asked = asked.where(~F.array_contains("seen", F.col("kmer")) if max_len is None else F.length("sequence") <= max_len)
+        if known is None:
+            hits = asked.join(nodes.select("kmer"), "kmer")
+        else:
+            hits = asked.join(known(asked.select("kmer").distinct()), "kmer").join(false_positives, "kmer", "left_anti")
+        hits = stored(hits.select("start", "sequence", "kmer", "c", "seen"), "assemble")
+        stopped = frontier.select("start", "sequence").join(hits.select("start", "sequence").distinct(), ["start", "sequence"], "left_anti")
         done = stopped if done is None else done.union(stopped)
-        frontier = moved.where("goes").select("start", F.col("next").alias("last"), F.concat("sequence", "c").alias("sequence"), F.concat("seen", F.array("next")).alias("seen"))
+        frontier = hits.select("start", F.col("kmer").alias("last"), F.concat("sequence", "c").alias("sequence"), F.concat("seen", F.array("kmer")).alias("seen"))
         if frontier.isEmpty():
             return done
 

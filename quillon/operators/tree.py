@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def impurity(counts: list[Column], criterion: str = "gini") -> Column:
-    """Gini 1 - sum p^2, or entropy -sum p log2 p, of class counts; 0 for no rows."""
-    n = counts[0]
-    for c in counts[1:]:
-        n = n + c
+def impurity(counts: list[Column], criterion: str = "gini", n: Column | None = None) -> Column:
+    """Gini 1 - sum p^2, or entropy -sum p log2 p, of class counts; 0 for no rows. n is their sum, if it is at hand."""
+    n = sum(counts[1:], counts[0]) if n is None else n
     total = F.lit(0.0)
     for c in counts:
         p = F.try_divide(c.cast("double"), n.cast("double"))
@@ -42,11 +40,14 @@ def best_splits(df: DataFrame, node: str, features: list[str], label: str, class
     cut = counts.select("node", "feature", "value", F.lead("value").over(order).alias("next"), *(c.alias(f"l{i}") for i, c in enumerate(left)), *(c.alias(f"a{i}") for i, c in enumerate(whole))).where("next is not null")
     ls, as_ = [F.col(f"l{i}") for i in range(len(classes))], [F.col(f"a{i}") for i in range(len(classes))]
     rs = [a - x for a, x in zip(as_, ls, strict=True)]
-    n, nl, nr = sum(as_[1:], as_[0]), sum(ls[1:], ls[0]), sum(rs[1:], rs[0])
-    gain = impurity(as_, criterion) - (nl * impurity(ls, criterion) + nr * impurity(rs, criterion)) / n
-    scored = cut.select("node", "feature", ((F.col("value") + F.col("next")) / 2).alias("threshold"), F.round(gain, 12).alias("gain"), n.alias("n")).where("gain > 0")
-    best = F.min(F.struct((-F.col("gain")).alias("g"), "feature", "threshold", "n")).alias("b")
-    return scored.groupBy("node").agg(best).select("node", "b.feature", "b.threshold", (-F.col("b.g")).alias("gain"), "b.n")
+    cut = cut.select("*", sum(as_[1:], as_[0]).alias("n"), sum(ls[1:], ls[0]).alias("nl")).withColumn("nr", F.col("n") - F.col("nl"))
+    parts = [impurity(cs, criterion, F.col(n)).alias(f"i{n}") for cs, n in ((as_, "n"), (ls, "nl"), (rs, "nr"))]
+    gain = F.col("in") - (F.col("nl") * F.col("inl") + F.col("nr") * F.col("inr")) / F.col("n")
+    scored = cut.select("node", "feature", "value", "next", "n", "nl", "nr", *parts)
+    scored = scored.select("node", "feature", ((F.col("value") + F.col("next")) / 2).alias("threshold"), F.round(gain, 12).alias("gain"), "n")
+    # the condition stands inside the aggregate: as a filter the optimizer would copy the whole gain into it, again and again
+    best = F.min(F.when(F.col("gain") > 0, F.struct((-F.col("gain")).alias("g"), "feature", "threshold", "n"))).alias("b")
+    return scored.groupBy("node").agg(best).where("b IS NOT NULL").select("node", "b.feature", "b.threshold", (-F.col("b.g")).alias("gain"), "b.n")
 
 
 @dataclass

@@ -136,10 +136,23 @@ def umap_fuzzy_union(spark, sf_dir):
     return R.fuzzy_union(weights).select("id", "other", r6(F.col("weight")).alias("weight"))
 
 
-@query("umap_graph")
+@query(
+    "umap_graph",
+    f"""WITH RECURSIVE {KNN.replace('rank <= 6', 'rank <= 10')}, l AS (SELECT id, list(d ORDER BY d) AS d FROM n GROUP BY id),
+    gaps AS (SELECT id, list_transform(d, lambda x: greatest(x - d[2], 0)) AS gaps FROM l),
+    w(id, gaps, step, low, high, sigma) AS (SELECT id, gaps, 0, 0::DOUBLE, 'inf'::DOUBLE, 1::DOUBLE FROM gaps UNION ALL
+      SELECT id, gaps, step + 1, new_low, new_high, CASE WHEN abs(total - log2(10)) < {{tol}}::DOUBLE THEN sigma ELSE greatest(CASE WHEN isinf(new_high) THEN sigma * 2 ELSE (new_low + new_high) / 2 END, 1e-12::DOUBLE) END
+      FROM (SELECT *, CASE WHEN total > log2(10) THEN sigma ELSE high END AS new_high, CASE WHEN total > log2(10) THEN low ELSE sigma END AS new_low
+        FROM (SELECT *, list_sum(list_transform(gaps, lambda g: exp(-g / sigma))) - 1 AS total FROM w WHERE step < {{steps}}))),
+    a AS (SELECT n.id, other, exp(-greatest(n.d - l.d[2], 0) / sigma) AS w FROM n JOIN l USING (id) JOIN w USING (id) WHERE step = {{steps}} AND n.id <> other),
+    b AS (SELECT coalesce(x.id, y.other) AS id, coalesce(x.other, y.id) AS other, coalesce(x.w, 0) AS p, coalesce(y.w, 0) AS q FROM a x FULL JOIN a y ON x.id = y.other AND x.other = y.id),
+    u AS (SELECT id, other, p + q - p * q AS weight FROM b)
+    SELECT id, other, round(weight, 6) + 0 AS weight, round((SELECT max(weight) FROM u) / weight, 4) + 0 AS every FROM u WHERE weight >= (SELECT max(weight) FROM u) / 200""".format(tol=R.WIDTH_TOL, steps=R.WIDTH_STEPS),
+)
 def umap_graph(spark, sf_dir):
     """The pruned fuzzy graph with fitted widths."""
-    return R.pruned(R.fuzzy_union(R.memberships(R.nearest_neighbours(embeddings(spark, sf_dir), "vec_id", "v", 10))), 200)
+    found = R.pruned(R.fuzzy_union(R.memberships(R.nearest_neighbours(embeddings(spark, sf_dir), "vec_id", "v", 10))), 200)
+    return found.select("id", "other", r6(F.col("weight")).alias("weight"), (F.round("every", 4) + F.lit(0.0)).alias("every"))
 
 
 @query("umap_fit")

@@ -36,11 +36,15 @@ def bloom_intersection(spark, sf_dir):
     return bloom.has(rich.join(buyers, "key", "left_semi"), "key", both)
 
 
-@query("bloom_bits")
+@query(
+    "bloom_bits",
+    """WITH d AS (SELECT DISTINCT p_brand, md5('\\x00\\x00\\x00\\x00'::BLOB || encode(p_brand)) AS h FROM part)
+    SELECT p_brand, i::INTEGER AS slice, (('0x' || substr(h, 4 * i + 3, 2) || substr(h, 4 * i + 1, 2))::INTEGER % 1024)::BIGINT AS bit FROM d, range(5) t(i)""",
+)
 def bloom_bits(spark, sf_dir):
     """The bits of the brands by cryptographic digests."""
     places = M.digest_places(1024, 5)
-    return table(spark, sf_dir, "part").select("p_brand").distinct().select("p_brand", places(F.col("p_brand")).alias("bits"))
+    return table(spark, sf_dir, "part").select("p_brand").distinct().select("p_brand", F.posexplode(places(F.col("p_brand"))).alias("slice", "bit"))
 
 
 PREFIXES = "WITH w AS (SELECT DISTINCT p_name AS w FROM part), n AS (SELECT DISTINCT substr(w, 1, d) AS prefix, d AS depth FROM w, (SELECT unnest(range(0, 13))::INTEGER AS d) WHERE d <= length(w))"
@@ -89,8 +93,16 @@ def debruijn_false_positives(spark, sf_dir):
     return M.critical_false_positives(nodes, bloom, bloom.add(nodes, "kmer"), "abcdefghijklmnopqrstuvwxyz ")
 
 
-@query("debruijn_assemble")
+@query(
+    "debruijn_assemble",
+    EDGES.replace("WITH", "WITH RECURSIVE")
+    + """, x AS (SELECT a.kmer, b.kmer AS next FROM k a JOIN k b ON substr(a.kmer, 2) = substr(b.kmer, 1, 3)),
+    t(start, last, sequence, seen) AS (SELECT kmer, kmer, kmer, [kmer] FROM k WHERE kmer NOT IN (SELECT dst FROM e)
+      UNION ALL SELECT start, x.next, sequence || substr(x.next, 4, 1), list_append(seen, x.next) FROM t JOIN x ON x.kmer = t.last WHERE NOT list_contains(seen, x.next))
+    SELECT start, sequence FROM t WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.kmer = t.last AND NOT list_contains(t.seen, x.next))""",
+)
 def debruijn_assemble(spark, sf_dir):
+    """All trails of the names' 4-grams."""
     part = table(spark, sf_dir, "part")
     nodes = M.kmer_rows(part, "p_name", 4)
     return M.assemble(M.debruijn_sources(nodes, M.debruijn_edges(part, "p_name", 4)), nodes, None)
@@ -147,7 +159,16 @@ def puzzle_path(spark, sf_dir):
     return spark.createDataFrame([(i, b) for i, b in enumerate(path)], "step int, board string")
 
 
-@query("puzzle_distances")
+MOVES = """list_filter([CASE WHEN b >= 4 THEN b - 3 END, CASE WHEN b <= 6 THEN b + 3 END, CASE WHEN b % 3 <> 1 THEN b - 1 END, CASE WHEN b % 3 <> 0 THEN b + 1 END], lambda o: o IS NOT NULL)"""
+
+
+@query(
+    "puzzle_distances",
+    f"""WITH RECURSIVE t(board, moves) AS (SELECT [1, 2, 3, 4, 5, 6, 7, 8, -1], 0 UNION
+      SELECT list_transform(board, lambda v, i: CASE WHEN i = b THEN board[o] WHEN i = o THEN -1 ELSE v END), moves + 1
+      FROM (SELECT board, moves, b, unnest({MOVES}) AS o FROM (SELECT board, moves, list_position(board, -1) AS b FROM t WHERE moves < 6)))
+    SELECT array_to_string(board, ',') AS board, min(moves)::INTEGER AS moves FROM t GROUP BY board""",
+)
 def puzzle_distances(spark, sf_dir):
     """All boards within 6 moves."""
     return M.puzzle_distances(spark, 3, 3, "1,2,3,4,5,6,7,8,-1", 6)

@@ -66,6 +66,29 @@ def test_assemble_query_follows_long_paths(spark, tmp_path):
     assert [r.sequence for r in QUERIES["debruijn_assemble"](spark, str(tmp_path)).collect()] == [name]
 
 
+def test_digest_places_are_those_of_the_digests(spark):
+    keys = ["a", "", "é x", "Brand#12"]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k string")
+    for bits, count in ((1000, 40), (1024, 5), (1 << 20, 7), (1 << 34, 3), (50, 1)):
+        run, places = M.digest_hashes(bits, count), M.digest_places(bits, count)
+        assert {r.k: r.p for r in df.select("k", places(F.col("k")).alias("p")).collect()} == {k: run(k.encode()) for k in keys} | {None: None}
+
+
+def test_assemble_follows_every_fork(spark):
+    nodes = spark.createDataFrame([(k,) for k in ("abc", "bcd", "bce", "cdx")], "kmer string")
+    start = nodes.where("kmer = 'abc'")
+    assert sorted(r.sequence for r in M.assemble(start, nodes).collect()) == ["abcdx", "abce"]
+    ring = spark.createDataFrame([(k,) for k in ("aba", "bab", "abc")], "kmer string")
+    first = ring.where("kmer = 'aba'")
+    assert [r.sequence for r in M.assemble(first, ring).collect()] == ["ababc"]
+    assert sorted(r.sequence for r in M.assemble(first, ring, 6).collect()) == ["abababa", "abababc", "ababc"]
+    bloom = M.Bloom(100, 0.3)
+    bits = bloom.add(nodes, "kmer")
+    wrong = M.critical_false_positives(nodes, bloom, bits, "abcdex")
+    known = lambda asked: bloom.has(asked, "kmer", bits).where("found").select("kmer")
+    assert sorted(r.sequence for r in M.assemble(start, nodes, None, wrong, known).collect()) == ["abcdx", "abce"]
+
+
 def brute_itemsets(tx, threshold, closed):
     items = sorted({i for t in tx for i in t})
     found = {}
