@@ -72,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op4_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,

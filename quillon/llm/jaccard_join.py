@@ -342,3 +342,28 @@ def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recal
     with_grams = rows.where("n_grams > 0").select("uid", "id", "entry").join(settled, "entry")
     without = rows.where("n_grams = 0").select("uid", "id", "entry", alone.alias("stays"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("text_links"))
     return rows, with_grams.select(without.columns).union(without)
+
+
+#: All pairs that share an n-gram, with no candidates, for tables of some thousand rows.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), sets AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS name FROM g GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), linked AS MATERIALIZED (
+  SELECT a, b, x.name AS of_a, y.name AS of_b FROM shared s JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE s.n >= 0.8::DOUBLE * (x.n + y.n - s.n) - 1e-9::DOUBLE
+), walk(id, root) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT b, root FROM walk JOIN linked ON a = id WHERE root < b
+), classes AS (
+  SELECT id, min(root) AS class_id FROM walk GROUP BY id
+), degrees AS (
+  SELECT a, count(*) AS links, count(DISTINCT of_b) FILTER (of_b <> of_a) AS text_links FROM linked GROUP BY a
+)
+SELECT id AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(links, 0) AS links, coalesce(text_links, 0) AS text_links, id = class_id AS kept
+FROM classes LEFT JOIN degrees ON a = id
+"""

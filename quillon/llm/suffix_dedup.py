@@ -582,3 +582,35 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     answer = stored(answer, "repeats-answer")  # a table, so that Spark may split the rows of a text with very many copies
     rows = whole.select("id", "t.a", "t.b")
     return rows.join(answer, ["a", "b"]).select(F.col("id").alias(key), *answer.columns[2:])
+
+
+def _windows_sql(name: str, units: str, parts: tuple[int, ...]) -> str:
+    """CTEs: a hash of the string of sum(parts) units that starts at each place, from hashes of twice as many units at a time, and what repeats cover."""
+    after = lambda h, k: f"lead({h}, {k}) OVER (PARTITION BY doc_id ORDER BY p)"
+    out, width, last = [f"{name}_1 AS (SELECT doc_id, p, c, hash(c) AS h1 FROM {units})"], 1, f"{name}_1"
+    while width < parts[0]:
+        out.append(f"{name}_{2 * width} AS (SELECT *, CASE WHEN {after(f'h{width}', width)} IS NOT NULL THEN hash(h{width}, {after(f'h{width}', width)}) END AS h{2 * width} FROM {last})")
+        width, last = 2 * width, f"{name}_{2 * width}"
+    pieces, at = [], 0
+    for n in parts:
+        pieces.append(after(f"h{n}", at) if at else f"h{n}")
+        at += n
+    out.append(f"{name}_w AS (SELECT doc_id, p, c, CASE WHEN {pieces[-1]} IS NOT NULL THEN hash({', '.join(pieces)}) END AS w FROM {last})")
+    out.append(f"{name}_r AS (SELECT w FROM {name}_w WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1)")
+    out.append(f"{name}_m AS (SELECT doc_id, p, c, r.w IS NOT NULL AS starts FROM {name}_w x LEFT JOIN {name}_r r ON r.w = x.w)")
+    out.append(f"{name}_c AS (SELECT doc_id, p, c, max(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {at - 1} PRECEDING AND CURRENT ROW) AS gone FROM {name}_m)")
+    out.append(f"{name}_s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM {name}_c)")
+    return ", ".join(out)
+
+
+#: Every window of bytes and of words, by hashes: for tables of some thousand rows.
+ORACLE_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), bytes AS (SELECT doc_id, unnest(b) AS c, generate_subscripts(b, 1) AS p FROM texts), spoken AS (SELECT doc_id, unnest(w) AS c, generate_subscripts(w, 1) AS p FROM texts),
+{_windows_sql('b', 'bytes', (256, 128, 16))}, {_windows_sql('w', 'spoken', (32, 16, 2, 1))},
+cut AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, sha256(unhex(coalesce(string_agg(c, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256 FROM b_s GROUP BY doc_id),
+said AS (SELECT doc_id, count(*) FILTER (begins) AS n_passages, count(*) FILTER (gone) AS n_passage_words FROM w_s GROUP BY doc_id)
+SELECT doc_id, len(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256,
+  coalesce(n_passages, 0) AS n_passages, coalesce(n_passage_words, 0) AS n_passage_words FROM texts LEFT JOIN cut USING (doc_id) LEFT JOIN said USING (doc_id)
+"""
