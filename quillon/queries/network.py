@@ -199,6 +199,40 @@ def network_fit_sums(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(model.history)), "step int, loss double")
 
 
+def _steps_sql(steps: int, rate: float) -> str:
+    """The losses of full-batch steps: 64 tanh units that start as the identity, then 10 softmax outputs that start as zeros."""
+    out = [
+        E,
+        "x AS MATERIALIZED (SELECT vec_id, j, v[j + 1] AS x FROM e, (SELECT unnest(range(64)) AS j))",
+        "n AS (SELECT count(*) AS n FROM e)",
+        "wa0 AS (SELECT u, j, (u = j)::INTEGER::DOUBLE AS w FROM range(64) a(u), range(64) b(j))",
+        "ba0 AS (SELECT u, 0::DOUBLE AS b FROM range(64) a(u))",
+        "wb0 AS (SELECT k, u, 0::DOUBLE AS w FROM range(10) a(k), range(64) b(u))",
+        "bb0 AS (SELECT k, 0::DOUBLE AS b FROM range(10) a(k))",
+    ]
+    for i in range(steps):
+        out += [
+            f"h{i} AS MATERIALIZED (SELECT vec_id, u, tanh(z + b) AS a FROM (SELECT vec_id, u, sum(x * w) AS z FROM x JOIN wa{i} USING (j) GROUP BY ALL) JOIN ba{i} USING (u))",
+            f"o{i} AS MATERIALIZED (SELECT vec_id, k, exp(z + b) / sum(exp(z + b)) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, k, sum(a * w) AS z FROM h{i} JOIN wb{i} USING (u) GROUP BY ALL) JOIN bb{i} USING (k))",
+            f"d{i} AS MATERIALIZED (SELECT vec_id, k, p, p - (k = label)::INTEGER AS d, k = label AS own FROM o{i} JOIN e USING (vec_id))",
+            f"c{i} AS MATERIALIZED (SELECT vec_id, u, s * (1 - a * a) AS d FROM (SELECT vec_id, u, sum(d * w) AS s FROM d{i} JOIN wb{i} USING (k) GROUP BY ALL) JOIN h{i} USING (vec_id, u))",
+        ]
+        for name, rows, keys, value in (("wa", f"c{i} JOIN x USING (vec_id)", "u, j", "d * x"), ("ba", f"c{i}", "u", "d"), ("wb", f"d{i} JOIN h{i} USING (vec_id)", "k, u", "d * a"), ("bb", f"d{i}", "k", "d")):
+            kept = "w" if name[0] == "w" else "b"
+            out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT {keys}, {kept} - {rate}::DOUBLE * g / n AS {kept} FROM {name}{i} JOIN (SELECT {keys}, sum({value}) AS g FROM {rows} GROUP BY ALL) USING ({keys}), n)")
+    told = " UNION ALL ".join(f"SELECT {i}::INTEGER AS step, round(avg(-ln(p + 1e-7::DOUBLE)), 6) + 0 AS loss FROM d{i} WHERE own" for i in range(steps))
+    return f"WITH {', '.join(out)} {told}"
+
+
+@query("network_fit_steps", _steps_sql(4, 2.0))
+def network_fit_steps(spark, sf_dir):
+    """Two dense layers, trained by full batches; the loss before each step."""
+    layers = [N.Dense(64, "tanh", "identity"), N.Dense(10, "softmax", "zeros")]
+    model = N.Sequential(layers, 1).compile((64,), N.gradient_descent(2.0), "categorical_crossentropy")
+    model.fit_sums(_labelled(spark, sf_dir), "v", "t", 4)
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(model.history)], "step int, loss double")
+
+
 @query("cnn_fit")
 def cnn_fit(spark, sf_dir):
     """Convolution and pooling over the embeddings as images."""
