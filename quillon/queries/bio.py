@@ -211,7 +211,28 @@ def pair_hmm_scores(spark, sf_dir):
     return found.select("p_partkey", r6(F.col("log_pair")).alias("log_pair"), r6(F.col("log_alignment")).alias("log_alignment"))
 
 
-@query("nussinov")
+#: best[width + 1][start + 1]: the most pairs of a stretch, by width; then the way back, a stretch at a time.
+MATES = "('AU', 'UA', 'GC', 'CG', 'GU', 'UG')"
+NUSSINOV = f"""WITH RECURSIVE s AS (SELECT user_id, string_agg({BASES}, '' ORDER BY ts, event_id) AS q FROM events GROUP BY user_id),
+    f(user_id, q, n, w, best) AS (SELECT user_id, q, length(q), 1::BIGINT, [list_transform(range(0, length(q) + 1), lambda i: 0), list_transform(range(0, length(q)), lambda i: 0)] FROM s
+      UNION ALL SELECT user_id, q, n, w + 1, list_append(best, list_transform(range(0, n - w), lambda i: greatest(best[w + 1][i + 2], best[w + 1][i + 1],
+        best[w][i + 2] + (w > 3 AND substr(q, i + 1, 1) || substr(q, i + w + 1, 1) IN {MATES})::INTEGER,
+        list_max(list_transform(range(1, w + 1), lambda k: best[k + 1][i + 1] + best[w + 2 - k][i + k + 1]))))) FROM f WHERE w < n),
+    g AS MATERIALIZED (SELECT * FROM f WHERE w = n),
+    t(user_id, i, j, paired) AS (SELECT user_id, 0::BIGINT, n::BIGINT, false FROM g
+      UNION ALL SELECT user_id, next.i, next.j, next.paired FROM (SELECT user_id, unnest(CASE
+        WHEN here = best[j - i][i + 2] THEN [{{'i': i + 1, 'j': j, 'paired': false}}]
+        WHEN here = best[j - i][i + 1] THEN [{{'i': i, 'j': j - 1, 'paired': false}}]
+        WHEN j - i > 4 AND substr(q, i + 1, 1) || substr(q, j, 1) IN {MATES} AND here = best[j - i - 1][i + 2] + 1 THEN [{{'i': i + 1, 'j': j - 1, 'paired': true}}]
+        ELSE list_transform([list_filter(range(i + 1, j), lambda k: here = best[k - i + 1][i + 1] + best[j - k + 1][k + 1])[1]], lambda k: {{'i': i, 'j': k, 'paired': false}})
+          || list_transform([list_filter(range(i + 1, j), lambda k: here = best[k - i + 1][i + 1] + best[j - k + 1][k + 1])[1]], lambda k: {{'i': k, 'j': j, 'paired': false}}) END) AS next
+        FROM (SELECT t.user_id, t.i, t.j, g.q, g.best, g.best[t.j - t.i + 1][t.i + 1] AS here FROM t JOIN g ON g.user_id = t.user_id WHERE t.j - t.i >= 2))),
+    p AS (SELECT user_id, list(i - 1) AS opens, list(j) AS closes FROM t WHERE paired GROUP BY user_id)
+    SELECT user_id, best[n + 1][1]::DOUBLE AS score, array_to_string(list_transform(range(0, n), lambda x: CASE WHEN list_contains(opens, x) THEN '(' WHEN list_contains(closes, x) THEN ')' ELSE '.' END), '') AS brackets
+    FROM g LEFT JOIN p USING (user_id)"""
+
+
+@query("nussinov", NUSSINOV)
 def nussinov(spark, sf_dir):
     return folding.fold_rows(strands(spark, sf_dir), folding.Nussinov(), "user_id", "seq")
 
