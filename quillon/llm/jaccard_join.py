@@ -1,10 +1,12 @@
 """Near-duplicate join: documents whose word n-gram sets have a Jaccard similarity of a threshold or more.
 
-1. Sign: every text becomes its set of n-gram hashes, a 128-bit name of that set, and MinHash bands. Rows of an
-   Arrow batch with the same set share one entry; only entries go on. Bands and rows are chosen for a target
-   recall at the threshold.
-2. Band: representatives (one for each set) meet by band hash. Each bucket gives a star of edges, one for each
-   member, not its pairs; connected components of the stars are the units of verification.
+1. Sign: every text becomes its set of n-gram hashes, a 128-bit name of that set, MinHash bands and a sketch, one
+   byte of each MinHash. Rows of an Arrow batch with the same set share one entry; only entries go on. Bands and
+   rows are chosen for a target recall at the threshold.
+2. Band: representatives (one for each set) meet by band hash. Within a bucket sketches are compared, and only
+   members whose sketches agree as often as a pair at the threshold does are joined: chance meetings, however many,
+   do not chain unlike texts together. A bucket gives a spanning forest of edges, not its pairs, and a large one is
+   dealt as pairs of blocks; connected components of the forests are the units of verification.
 3. Verify: texts move once, to their component. All pairs of a component are compared on their full n-gram sets
    by an inverted index in memory, and only counts and a spanning forest come out. A component too large for
    one task is dealt as pairs of blocks, so that no task holds more than two blocks.
@@ -25,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._shared import small, stored, tidied
 
 #: Members, and n-grams in all, of a block of a component.
 BLOCK_ROWS, BLOCK_GRAMS = 2_000, 4_000_000
+#: Members of a block of a band bucket, and sketches that are compared with all others at a time.
+BUCKET_ROWS, SKETCHES = 4_000, 256
 #: The side of a member whose block is compared with itself; 0 and 1 are the two blocks of a pair.
 WITHIN = 2
 #: Words that a worker remembers the hashes of before it starts afresh.
@@ -53,6 +57,16 @@ def banding(threshold: float, recall: float, most_hashes: int = 80) -> tuple[int
     return found or (math.ceil(math.log(1 - recall) / math.log1p(-threshold)), 1)
 
 
+def least_agreement(hashes: int, threshold: float, missed: float) -> int:
+    """The most agreeing MinHashes of so many that a pair at the threshold falls short of with probability missed at most."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += math.exp(math.lgamma(hashes + 1) - math.lgamma(k + 1) - math.lgamma(hashes - k + 1) + k * math.log(threshold) + (hashes - k) * math.log1p(-threshold)) if threshold < 1 else float(k == hashes)
+        if below > missed:
+            return k
+    return hashes
+
+
 _WORDS: dict[bytes, int] = {}
 
 
@@ -88,19 +102,36 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def band_hashes(found: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One signed 64-bit hash for each band of the MinHash signature of a set of gram hashes."""
-    a, b = _functions(bands * rows)
-    low = np.full(bands * rows, MAX)
+def minima(found: np.ndarray, n: int) -> np.ndarray:
+    """The MinHash signature of a set of gram hashes: its least value under each of n hash functions."""
+    a, b = _functions(n)
+    low = np.full(n, MAX)
     with np.errstate(over="ignore"):
         for at in range(0, len(found), 2_048):
             part = found[at : at + 2_048]
             low = np.minimum(low, (part[None, :] * a[:, None] + b[:, None]).min(axis=1))
-        folded = np.zeros(bands, np.uint64)
+    return low
+
+
+def folded(low: np.ndarray, bands: int, rows: int) -> list[int]:
+    """One signed 64-bit hash for each band of a signature."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(bands, np.uint64)
         for r in range(rows):
-            folded = (folded ^ low[r::rows][:bands]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            folded ^= folded >> np.uint64(31)
-    return folded.view(np.int64).tolist()
+            out = (out ^ low[r::rows][:bands]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out ^= out >> np.uint64(31)
+    return out.view(np.int64).tolist()
+
+
+def band_hashes(found: np.ndarray, bands: int, rows: int) -> list[int]:
+    """folded() of the signature of a set of gram hashes."""
+    return folded(minima(found, bands * rows), bands, rows)
+
+
+def sketch(low: np.ndarray) -> bytes:
+    """One byte for each value of a signature: equal values have equal bytes, others in one case of 256."""
+    with np.errstate(over="ignore"):
+        return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _sign(n: int, bands: int, rows: int, all_texts: bool = False):
@@ -109,7 +140,7 @@ def _sign(n: int, bands: int, rows: int, all_texts: bool = False):
         for batch in batches:
             for at in range(0, batch.num_rows, 1_024):
                 part = batch.slice(at, 1_024)
-                uids, entries, names, counts, banded, texts = [], [], [], [], [], []
+                uids, entries, names, counts, banded, sketches, texts = [], [], [], [], [], [], []
                 first: dict[bytes, int] = {}
                 same: dict[str | None, tuple[bytes, int]] = {}
                 for text in part.column(1).to_pylist():
@@ -124,17 +155,99 @@ def _sign(n: int, bands: int, rows: int, all_texts: bool = False):
                     entries.append(entry)
                     counts.append(size)
                     names.append(name if entry == uid else None)
-                    banded.append(band_hashes(found, bands, rows) if entry == uid and size else None)
+                    low = minima(found, bands * rows) if entry == uid and size else None
+                    banded.append(None if low is None else folded(low, bands, rows))
+                    sketches.append(None if low is None else sketch(low))
                     texts.append(text if all_texts or (entry == uid and size) else None)
                     uid += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids, pa.int64()), part.column(0), pa.array(entries, pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(texts, pa.string()), *part.columns[2:]],
-                    ["uid", "id", "entry", "name", "n_grams", "bands", "text", *(f"c{i}" for i in range(part.num_columns - 2))],
+                    [pa.array(uids, pa.int64()), part.column(0), pa.array(entries, pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(texts, pa.string()), *part.columns[2:]],
+                    ["uid", "id", "entry", "name", "n_grams", "bands", "sketch", "text", *(f"c{i}" for i in range(part.num_columns - 2))],
                 )
 
     return run
 
 
+def alike(sketches: list[bytes], left: int, least: int) -> np.ndarray:
+    """For each sketch, the first one that it is joined with by pairs of at least `least` equal bytes.
+
+    If left is not 0, only pairs of one of the first `left` sketches and one of the others are looked at.
+    """
+    m = len(sketches)
+    every = np.frombuffer(b"".join(sketches), np.uint8).reshape(m, -1)
+    label = np.arange(m)
+    if m == 2:
+        return np.zeros(2, np.int64) if np.count_nonzero(every[0] == every[1]) >= least else label
+    across = np.ascontiguousarray(every.T)
+    end = left or m
+    for at in range(0, end, SKETCHES):
+        upto, low = min(end, at + SKETCHES), left or at
+        agree = np.zeros((upto - at, m - low), np.uint8 if len(across) < 256 else np.uint32)
+        for place in across:
+            agree += place[at:upto, None] == place[None, low:]
+        near = agree >= least
+        for i in range(at, upto):
+            met = np.append(label[low:][near[i - at]], label[i])
+            first = met.min()
+            if first != met.max():
+                renamed = np.arange(m)
+                renamed[met] = first
+                label = renamed[label]
+    return label
+
+
+def _meet(least: int):
+    """(unit, side, rep, sketch) sorted by unit and side -> (a, b), a < b: a spanning forest of each unit's alike members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, reps, sides, sketches = None, [], [], []
+        low, high = [], []
+
+        def settle() -> None:
+            whole = bool(sides) and sides[0] == WITHIN
+            left = 0 if whole else sides.count(0)
+            if len(reps) > 1 and (whole or 0 < left < len(reps)):
+                label = alike(sketches, left, least)
+                for i in np.flatnonzero(label != np.arange(len(reps))).tolist():
+                    x, y = reps[label[i]], reps[i]
+                    low.append(min(x, y))
+                    high.append(max(x, y))
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, side, rep, drawn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != unit:
+                    settle()
+                    unit, reps, sides, sketches = key, [], [], []
+                reps.append(rep)
+                sides.append(side)
+                sketches.append(drawn)
+            if low:
+                yield told()
+                low, high = [], []
+        settle()
+        if low:
+            yield told()
+
+    return run
+
+
+def _dealt(placed: DataFrame, group: str) -> DataFrame:
+    """placed (with blocks, and the block of each member) once for each pair of blocks of its group, with unit and side.
+
+    A member of block i serves the pairs (i, j): as the first side if i <= j, as the second if i > j.
+    """
+    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), WITHIN).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return copies.withColumn("unit", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(a, b) edges, a < b -> (node, root): each node's component, named by its smallest node.
 
@@ -287,9 +400,11 @@ def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recall: float, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """The stored rows, with the carried columns, and for each row (uid, id, entry, stays, class_size, links, text_links)."""
-    bands, rows_ = banding(threshold, recall)
+    missed = (1 - recall) / 2  # by the bands, and as much again by the sketches
+    bands, rows_ = banding(threshold, 1 - missed)
+    least = least_agreement(bands * rows_, threshold, missed)
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"uid long, id {kind[key]}, entry long, name binary, n_grams long, bands array<bigint>, text string", *(f"c{i} {kind[c]}" for i, c in enumerate(carry))])
+    schema = ", ".join([f"uid long, id {kind[key]}, entry long, name binary, n_grams long, bands array<bigint>, sketch binary, text string", *(f"c{i} {kind[c]}" for i, c in enumerate(carry))])
     taken = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     rows = stored(taken.mapInArrow(tidied(_sign(n, bands, rows_, bool(carry))), schema), "jaccard-rows")
 
@@ -301,22 +416,18 @@ def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recal
     heads = reps.where("entry = rep")
     banded = rows.where("bands is not null").select(F.col("uid").alias("rep"), "bands").join(heads.select("rep"), "rep")
     met = banded.select("rep", F.posexplode("bands").alias("band", "hash")).select("rep", F.xxhash64("band", "hash").alias("hash"))
-    buckets = met.groupBy("hash").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "least")
-    stars = met.join(buckets, "hash").where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    units = components(stars, "jaccard-candidates")
+    buckets = met.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = met.join(buckets, "hash").select("hash", "rep", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks"))
+    sketched = members.join(rows.where("sketch is not null").select(F.col("uid").alias("rep"), "sketch"), "rep")
+    compared = _dealt(sketched.withColumn("block", _block()), "hash").select("unit", "side", "rep", "sketch").repartition("unit").sortWithinPartitions("unit", "side", "rep")
+    forests = compared.mapInArrow(tidied(_meet(least)), "a long, b long")
+    units = components(forests, "jaccard-candidates")
 
     found = units.withColumnRenamed("node", "rep").join(heads.select("rep", "weight", "n_grams"), "rep")
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("all_grams"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("all_grams") / BLOCK_GRAMS)).cast("int")
-    placed = found.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a member of block i serves the pairs (i, j): as the first side if i <= j, as the second if i > j
-    dealt = placed.select("root", "rep", "weight", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(
-        "rep",
-        "weight",
-        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-        F.when(F.col("block") == F.col("other"), WITHIN).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
-    )
+    placed = found.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", _block())
+    dealt = _dealt(placed, "root").select("unit", "side", "rep", "weight")
     texts = rows.where("name is not null and n_grams > 0").select(F.col("uid").alias("rep"), "text")
     checked = dealt.join(texts, "rep").select("unit", "side", "rep", "weight", "text").repartition("unit").sortWithinPartitions("unit", "side", "rep")
     told = stored(checked.mapInArrow(tidied(_verify(n, threshold)), "rep long, root long, links long, text_links long"), "jaccard-links")
@@ -334,8 +445,8 @@ def _classes(df: DataFrame, key: str, text: str, threshold: float, n: int, recal
             F.coalesce("text_links", F.lit(0)).alias("text_links"),
         )
     )
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))).alias("least")
-    heads_of = rows.where("n_grams > 0").groupBy("entry").agg(least, F.count(F.lit(1)).alias("n")).join(answer, "entry")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))).alias("least")
+    heads_of = rows.where("n_grams > 0").groupBy("entry").agg(first, F.count(F.lit(1)).alias("n")).join(answer, "entry")
     stays = heads_of.groupBy("root").agg(F.min("least").alias("stays"), F.sum("n").alias("class_size"))
     settled = heads_of.join(stays, "root").select("entry", "stays", "class_size", "links", "text_links")
     alone = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))

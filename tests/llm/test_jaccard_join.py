@@ -116,3 +116,46 @@ def test_kept_rows_are_whole(spark):
     assert j.kept_rows(df).columns == df.columns and all(r in rows for r in kept)
     assert sorted(r[1] for r in kept) == sorted({c for _, c, _, _ in brute(rows)})
     assert j.kept_rows(df.limit(0)).collect() == []
+
+
+def test_least_agreement_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(7)
+    for hashes, threshold, missed in ((76, 0.8, 0.00005), (40, 0.5, 0.01), (6, 1.0, 0.01)):
+        least = j.least_agreement(hashes, threshold, missed)
+        agreed = rng.binomial(hashes, threshold, 200_000)
+        assert (agreed < least).mean() <= 3 * missed and 0 < least <= hashes
+    assert j.least_agreement(76, 0.8, 0.00005) > 40
+
+
+def test_alike_sketches_in_blocks_and_sides(monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 256, (3, 76), dtype=np.uint8)
+    rows = [r.copy() for r in base for _ in range(5)] + [rng.integers(0, 256, 76, dtype=np.uint8)]
+    for r in rows[:15]:
+        r[rng.integers(0, 76, 8)] ^= 1
+    sketches = [r.tobytes() for r in rows]
+    expected = [0] * 5 + [5] * 5 + [10] * 5 + [15]
+    for step in (1, 4, 256):
+        monkeypatch.setattr(j, "SKETCHES", step)
+        assert j.alike(sketches, 0, 45).tolist() == expected
+        sided = j.alike(sketches, 7, 45).tolist()
+        assert sided == [0, 1, 2, 3, 4] + [5] * 5 + [10, 11, 12, 13, 14, 15]
+    assert j.alike(sketches[:2], 0, 45).tolist() == [0, 0] and j.alike(sketches[4:6], 1, 45).tolist() == [0, 1]
+
+
+def test_chance_meetings_do_not_chain_texts(spark, monkeypatch):
+    # every text holds the same passage (similarity of some 0.4), so most meet in some band
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [("z", k, " ".join(passage + [f"t{rng.randrange(10**6)}" for _ in range(40)]), 0, "u") for k in range(120)]
+    rows += [("z", 500 + k, rows[k][2] + " more", 0, "u") for k in range(10)]
+    seen = []
+    plain = j.components
+    monkeypatch.setattr(j, "components", lambda edges, name: seen.append(plain(edges, name)) or seen[-1])
+    check(spark, rows)
+    assert 20 <= seen[0].count() <= 60
+
+
+def test_bucket_blocks_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(j, "BUCKET_ROWS", 2)
+    check(spark, varied(4, families=4, members=9, words=60))
