@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import stored, tidied
+from quillon.llm._shared import one_each, stored, tidied
 from quillon.llm.byte_cnn import held_out
 
 TOP, FEATURES, MARKED_ROWS, MARKED_SHARE = 3, 1_024, 5, 0.9
@@ -103,6 +103,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 500, rate: float
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000) -> Severity:
     """Learn from at most max_rows labelled rows that are not held out, those whose hashed key is smallest.
 
+    Of rows of df that share a labelled key the one with the least text is taken, so that repeats do not add to the sample.
     Rows are counted by feature over the sample in Spark; the driver sees FEATURES features and, for each sampled
     row, which of them it has. With one class only, or no rows, every text has a severity near that class's.
     """
@@ -114,6 +115,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         .limit(max_rows)
     )
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(few), "_k")  # max_rows pairs of numbers
+    rows = one_each(rows, "_k", "text", "toxic")
     rows = stored(rows.select(F.xxhash64("_k", "text").alias("at"), "toxic", "text"), "toxicity-sample")
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)

@@ -44,3 +44,12 @@ def test_odd_rows_and_tables(spark):
     one_class = t.fit(df, labels.where("toxic = 0"))
     assert all(r.predicted == 0 for r in t.grade(df, one_class).collect())
     assert t.grade(df.limit(0), t.fit(df.limit(0), labels)).collect() == []
+
+
+def test_repeated_rows_do_not_change_the_fit(spark):
+    rows = [("", k, f"word{k % 7} text " + ("vile idiot " * (1 + k % 3) if k % 2 else "plain line"), "") for k in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    one, more = t.fit(df, labels), t.fit(df.union(df.where("doc_id % 3 = 0")).union(df.where("doc_id < 40")), labels)
+    assert one.features == more.features and len(one.features) > 0
+    assert np.allclose(one.weights, more.weights) and np.allclose(one.thresholds, more.thresholds)
