@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.core.ordering import running_sum
 from quillon.functions import vectors as V
 from quillon.operators.graph import connected_components
 from quillon.operators.linalg import stacked
@@ -184,7 +185,7 @@ def dbscan(df: DataFrame, id_col: str, vector: str, eps: float = 0.5, min_sample
     inside = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
     linked = connected_components(inside.where("a < b"), "dbscan")
     roots = core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    numbers = roots.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("cluster"))
+    numbers = running_sum(roots.select("root").distinct(), ["root"], out="cluster").select("root", (F.col("cluster") - 1).cast("int").alias("cluster"))
     cored = roots.join(numbers, "root").select("id", "cluster")
     border = near.join(cored.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("border"))
     rows = df.select(F.col(id_col).alias("id")).join(cored, "id", "left").join(border, "id", "left")

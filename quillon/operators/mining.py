@@ -8,9 +8,10 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.core.ordering import running_sum
 from quillon.core.scratch import stored
 from quillon.functions import vectors as V
 
@@ -134,13 +135,27 @@ def louds(nodes: DataFrame) -> DataFrame:
 
     A node's bits are a 1 for each child and a 0; the whole code begins with those of a super-root, '10'.
     """
-    numbered = nodes.withColumn("number", F.row_number().over(Window.orderBy("depth", "prefix")))
+    numbered = running_sum(nodes, ["depth", "prefix"], out="number").withColumn("number", F.col("number").cast("int"))
     degree = nodes.where("parent is not null").groupBy(F.col("parent").alias("prefix")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     label = F.when(F.col("depth") > 0, F.substr("prefix", F.col("depth"), F.lit(1))).otherwise("")
     bits = F.concat(F.repeat(F.lit("1"), F.coalesce("n", F.lit(0))), F.lit("0"))
     return numbered.join(degree, "prefix", "left").select("number", "prefix", "depth", label.alias("label"), bits.alias("bits"), "is_word")
 
 
+def louds_search(df: DataFrame, query: str, coded: DataFrame) -> DataFrame:
+    """(query, node, place) of each row: the number of the node that a prefix leads to and the place of its 1 in the code.
+
+    Both are -1 where no word begins so. Before the 1 of node n lie n - 1 others and a zero for each node up to the
+    parent's left neighbour and for the super-root, so the place is n - 1 and the parent's number.
+    """
+    parent = F.when(F.col("c.depth") > 0, F.substr("c.prefix", F.lit(1), F.col("c.depth") - 1))
+    above = coded.select(F.col("prefix").alias("_above"), F.col("number").alias("_parent"))
+    placed = coded.alias("c").withColumn("_up", parent).join(above, F.col("_up") == F.col("_above"), "left")
+    placed = placed.select(F.col("c.prefix").alias("_prefix"), "number", (F.col("number") - 1 + F.coalesce("_parent", F.lit(0))).alias("_place"))
+    found = df.select(query).join(placed, F.col(query) == F.col("_prefix"), "left")
+    return found.select(query, F.coalesce("number", F.lit(-1)).alias("node"), F.coalesce("_place", F.lit(-1)).alias("place"))
+
+
 def louds_string(coded: DataFrame) -> str:
     """The whole code of a small trie, gathered in order."""
     rows = coded.select("number", "bits").orderBy("number").collect()
@@ -417,6 +432,32 @@ def breakdown(total: int, coins: list[int]) -> dict[int, int]:
     return out
 
 
+def coin_breakdown(total: Column, coins: list[int]) -> Column:
+    """The coins of breakdown() as an array, largest first among equals; null if there is none."""
+    never, down = 1 << 30, sorted(coins, reverse=True)
+
+    def step(acc: Column, amount: Column) -> Column:
+        options = [F.struct((F.coalesce(F.get(acc, amount - c)["n"], F.lit(never)) + 1).alias("n"), F.lit(-c).alias("c")) for c in down]
+        nothing = F.struct(F.lit(never).alias("n"), F.lit(0).alias("c"))
+        fair = [F.when(amount >= -o["c"], o).otherwise(nothing) for o in options]
+        return F.concat(acc, F.array(F.least(nothing, *fair) if len(fair) else nothing))
+
+    def walk(table: Column) -> Column:
+        start = F.struct(total.cast("int").alias("left"), F.array().cast("array<int>").alias("taken"))
+
+        def back(acc: Column, _: Column) -> Column:
+            coin = -F.get(table, acc["left"])["c"]
+            return F.struct((acc["left"] - coin).alias("left"), F.concat(acc["taken"], F.array(coin)).alias("taken"))
+
+        n = F.get(table, total)["n"]
+        told = F.aggregate(F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), F.lit(2), F.greatest(n, F.lit(0))), start, back)["taken"]
+        return F.when(n < never, told)
+
+    first = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("c")))
+    table = F.aggregate(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), first, step)
+    return F.when(total == 0, F.array().cast("array<int>")).otherwise(V.let(table, walk))
+
+
 def edges_dot(edges: DataFrame) -> str:
     """A small graph as Graphviz text."""
     rows = edges.orderBy("src", "dst").collect()

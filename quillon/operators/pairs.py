@@ -1,7 +1,7 @@
 """All-pairs work in blocks: a query set against all rows, and sums over pairs, without a Cartesian product.
 
-Rows of either side get a block number; every pair of blocks is one key of an ordinary shuffled join or group, so
-a task holds two blocks whatever the table's size, and nothing is broadcast.
+Rows of either side get a block number, as many as the rows call for; every pair of blocks is one key of an ordinary
+join or group, so a key holds two blocks whatever the table's size.
 """
 
 from __future__ import annotations
@@ -16,23 +16,36 @@ from pyspark.sql import functions as F
 from quillon.functions import vectors as V
 
 
-def against_all(queries: DataFrame, rows: DataFrame, query_id: str, blocks: int = 8) -> DataFrame:
-    """Each query beside each row, the rows' columns as they are and the queries' prefixed q_."""
-    asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).withColumn("_block", F.pmod(F.xxhash64(f"q_{query_id}"), F.lit(blocks)))
-    dealt = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    return dealt.join(asked, "_block").drop("_block")
+#: Rows of either side of a block pair.
+ROWS_A_BLOCK = 500
+
+
+def against_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each query beside each row, the rows' columns as they are and the queries' prefixed q_.
+
+    Both sides are dealt to blocks of some ROWS_A_BLOCK rows, counted first, so a key holds as much at any size. A row
+    is copied once for each block of the other side, which is a small part of the pairs that come out.
+    """
+    sides = {}
+    for name, df in (("_q", queries), ("_r", rows)):
+        n = max(1, -(-df.count() // ROWS_A_BLOCK))
+        sides[name] = (F.pmod(F.xxhash64(*df.columns), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    asked = queries.withColumn("_q", sides["_q"][0]).withColumn("_r", sides["_r"][1])
+    dealt = rows.withColumn("_r", sides["_r"][0]).withColumn("_q", sides["_q"][1])
+    asked = asked.select("_q", "_r", *(F.col(c).alias(f"q_{c}") for c in queries.columns))
+    return dealt.join(asked, ["_q", "_r"]).drop("_q", "_r")
 
 
 def pairwise_distances(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, metric: str | Callable[[Column, Column], Column] = "euclidean") -> DataFrame:
     """(q_id, id, distance) of every query and row; an id's distance to itself is 0."""
-    pairs = against_all(queries.select(id_col, vector), rows.select(id_col, vector), id_col)
+    pairs = against_all(queries.select(id_col, vector), rows.select(id_col, vector))
     found = V.metric(metric)(F.col(f"q_{vector}"), F.col(vector))
     return pairs.select(f"q_{id_col}", id_col, F.when(F.col(f"q_{id_col}") == F.col(id_col), F.lit(0.0)).otherwise(found).alias("distance"))
 
 
 def gram(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, kernel: Callable[[Column, Column], Column]) -> DataFrame:
     """Kernel values of every query and row."""
-    pairs = against_all(queries.select(id_col, vector), rows.select(id_col, vector), id_col)
+    pairs = against_all(queries.select(id_col, vector), rows.select(id_col, vector))
     return pairs.select(f"q_{id_col}", id_col, kernel(F.col(f"q_{vector}"), F.col(vector)).alias("k"))
 
 

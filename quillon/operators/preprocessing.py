@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.core.ordering import running_sum
 from quillon.functions import vectors as V
 
 
@@ -75,10 +76,10 @@ def log_normalise(df: DataFrame, value: str, by: Sequence[str] = (), out: str =
 def categories(df: DataFrame, column: str, origin: int = 0) -> DataFrame:
     """(value, code), codes running from origin in the order of the values; nulls have no code.
 
-    One row for each distinct value, numbered in one task: for columns of categories, not of free text.
+    One row for each distinct value, numbered by ranges of values.
     """
     distinct = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return distinct.select("value", (F.row_number().over(Window.orderBy("value")) - 1 + origin).cast("int").alias("code"))
+    return running_sum(distinct, ["value"], out="code").select("value", (F.col("code") - 1 + origin).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, column: str, origin: int = 0, out: str = "code") -> DataFrame:
@@ -192,9 +193,8 @@ def batches(df: DataFrame, position: str, size: int) -> DataFrame:
 
 def sequence_bounds(df: DataFrame, seq_id: str, length: str) -> DataFrame:
     """(start, end) of each sequence when sequences of given lengths lie end to end, in the order of their ids."""
-    upto = Window.orderBy(seq_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col(length).cast("long")).over(upto)
-    return df.select(seq_id, (end - F.col(length)).alias("start"), end.alias("end"))
+    ends = running_sum(df.select(seq_id, F.col(length).cast("long").alias("_length")), [seq_id], F.col("_length"), "end")
+    return ends.select(seq_id, (F.col("end") - F.col("_length")).alias("start"), "end")
 
 
 def cdf(df: DataFrame, value: str, by: Sequence[str] = (), reverse: bool = False) -> DataFrame:

@@ -102,6 +102,17 @@ def z_array(t: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at))
 
 
+def failure_array(t: Column) -> Column:
+    """Q19: the longest proper border of each prefix, from the first place whose Z-match reaches the prefix's end."""
+
+    def borders(z: Column) -> Column:
+        reach = F.transform(z, lambda length, i: F.when((i > 0) & (length > 0), i + length))
+        starts = lambda end: F.filter(F.sequence(F.lit(0), end), lambda i: F.get(reach, i) > end)
+        return F.transform(z, lambda _, end: F.coalesce(end + 1 - F.get(starts(end), F.lit(0)), F.lit(0)))
+
+    return F.when(F.length(t) == 0, F.array().cast("array<int>")).otherwise(V.let(z_array(t), borders))
+
+
 def prefix_matches(pattern: Column, t: Column) -> Column:
     """Q18: at each place of the text, how much of the pattern's beginning stands there."""
     n = F.length(t)

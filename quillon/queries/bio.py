@@ -75,6 +75,16 @@ def z_array(spark, sf_dir):
     return names(spark, sf_dir).select("p_partkey", F.posexplode(S.z_array(F.col("p_name"))).alias("sa", "z"))
 
 
+@query(
+    "failure_array",
+    """SELECT p_partkey, k - 1 AS i, list_max(list_filter(range(0, k), lambda b: substr(p_name, 1, b) = substr(p_name, k - b + 1, b)))::INTEGER AS border
+    FROM part, (SELECT unnest(range(1, 41)) AS k) WHERE k <= length(p_name)""",
+)
+def failure_array(spark, sf_dir):
+    """Q19"""
+    return names(spark, sf_dir).select("p_partkey", F.posexplode(S.failure_array(F.col("p_name"))).alias("i", "border"))
+
+
 @query("prefix_match", NAMED + f" SELECT p_partkey, sa, {COMMON.format(a="'red widget'", b='substr(t, sa + 1)')}::INTEGER AS n FROM p")
 def prefix_match(spark, sf_dir):
     return names(spark, sf_dir).select("p_partkey", F.posexplode(S.prefix_matches(F.lit("red widget"), F.col("p_name"))).alias("sa", "n"))

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.operators import clustering, linalg, pairs
 from quillon.operators import decomposition as R
-from quillon.operators import linalg, pairs
 from quillon.queries._registry import E, embeddings, query, r6
 
 LONG = f"WITH {E}, x AS (SELECT vec_id, label, i - 1 AS dim, v[i] AS x FROM e, (SELECT unnest(range(1, 65))::INTEGER AS i))"
@@ -19,6 +19,22 @@ def pca_covariance(spark, sf_dir):
     return spark.createDataFrame([(i, j, round(float(cov[i, j]), 8) + 0.0) for i in range(64) for j in range(i, 64)], "i int, j int, cov double")
 
 
+@query(
+    "covariance_kinds",
+    f"""{LONG}, c AS (SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL), t AS (SELECT sum(c) / 64 AS t FROM c WHERE i = j)
+    SELECT kind, k, i, j, round(CASE WHEN kind IN ('full', 'tied') THEN c WHEN i <> j THEN 0 WHEN kind = 'diag' THEN c ELSE t END, 8) + 0 AS cov
+    FROM c, t, (VALUES ('spherical'), ('diag'), ('tied'), ('full')) y(kind), (VALUES (0), (1)) z(k)""",
+)
+def covariance_kinds(spark, sf_dir):
+    """One covariance as the parameters of two components of each kind, and back as matrices."""
+    _, cov, _ = linalg.covariance(embeddings(spark, sf_dir), F.col("v"))
+    rows = []
+    for kind in ("spherical", "diag", "tied", "full"):
+        for k, m in enumerate(clustering.covariance_full(clustering.covariance_as(cov, kind, 2), kind, 2, len(cov))):
+            rows += [(kind, k, i, j, round(float(m[i, j]), 8) + 0.0) for i in range(len(m)) for j in range(len(m))]
+    return spark.createDataFrame(rows, "kind string, k int, i int, j int, cov double")
+
+
 @query(
     "pca_project",
     f"""WITH {E}, x AS (SELECT i, avg(v[i]) AS m FROM e, (SELECT unnest(range(1, 65))::INTEGER AS i) GROUP BY i), m AS (SELECT list(m ORDER BY i) AS m FROM x)

@@ -263,7 +263,7 @@ def svm_decision(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
     sv = rows.where(F.col("vec_id") % 100 == 0)
     k = V.gaussian()
-    parts = pairs.against_all(sv, rows, "vec_id").select("vec_id", (F.when(F.col("q_label") >= 5, F.lit(0.5)).otherwise(F.lit(-0.5)) * k(F.col("q_v"), F.col("v"))).alias("part"))
+    parts = pairs.against_all(sv, rows).select("vec_id", (F.when(F.col("q_label") >= 5, F.lit(0.5)).otherwise(F.lit(-0.5)) * k(F.col("q_v"), F.col("v"))).alias("part"))
     d = F.sum("part") + F.lit(0.1)
     return parts.groupBy("vec_id").agg(d.alias("d")).select("vec_id", r6(F.col("d")).alias("decision"), F.when(F.col("d") > 0, 1).otherwise(-1).alias("predicted"))
 

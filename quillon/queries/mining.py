@@ -66,6 +66,26 @@ def louds_bits(spark, sf_dir):
     return M.louds(M.trie(table(spark, sf_dir, "part"), "p_name")).select("number", "prefix", "bits")
 
 
+ASKED = ("re", "red widget", "zz", "blue b", "", "b", "steel", "green widge")
+
+
+@query(
+    "louds_search",
+    PREFIXES
+    + """, d AS (SELECT substr(prefix, 1, depth - 1) AS prefix, count(*) AS c FROM n WHERE depth > 0 GROUP BY ALL),
+    c AS (SELECT row_number() OVER (ORDER BY depth, n.prefix) AS number, n.prefix, repeat('1', coalesce(c, 0)) || '0' AS bits FROM n LEFT JOIN d ON d.prefix = n.prefix),
+    s AS (SELECT '10' || string_agg(bits, '' ORDER BY number) AS s FROM c),
+    o AS (SELECT i - 1 AS place, row_number() OVER (ORDER BY i) AS number FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM s) WHERE substr(s, i, 1) = '1')
+    SELECT q, coalesce(number, -1)::INTEGER AS node, coalesce(place, -1)::INTEGER AS place FROM (VALUES """
+    + ", ".join(f"('{q}')" for q in ASKED)
+    + ") t(q) LEFT JOIN c ON c.prefix = q LEFT JOIN o USING (number)",
+)
+def louds_search(spark, sf_dir):
+    """Nodes of the names' trie, found in its code."""
+    asked = spark.createDataFrame([(q,) for q in ASKED], "q string")
+    return M.louds_search(asked, "q", M.louds(M.trie(table(spark, sf_dir, "part"), "p_name")))
+
+
 EDGES = "WITH e AS (SELECT substr(p_name, i::BIGINT + 1, 4) AS src, substr(p_name, i::BIGINT + 2, 4) AS dst FROM part, range(12) r(i) WHERE i + 5 <= length(p_name)), k AS (SELECT DISTINCT substr(p_name, i::BIGINT + 1, 4) AS kmer FROM part, range(12) r(i) WHERE i + 4 <= length(p_name))"
 
 
@@ -184,6 +204,20 @@ def coin_change(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", M.fewest_coins(F.col("p_size"), [17, 10, 5, 1]).alias("coins"))
 
 
+@query(
+    "coin_breakdown",
+    """WITH RECURSIVE m(t, b) AS (SELECT 0, [0] UNION ALL SELECT t + 1, list_append(b, 1 + least(b[t + 1], CASE WHEN t >= 4 THEN b[t - 3] ELSE 1000 END, CASE WHEN t >= 9 THEN b[t - 8] ELSE 1000 END, CASE WHEN t >= 16 THEN b[t - 15] ELSE 1000 END)) FROM m WHERE t < 50),
+    f AS (SELECT b FROM m WHERE t = 50), w(p_partkey, remaining, coins) AS (SELECT p_partkey, p_size, []::INTEGER[] FROM part
+      UNION ALL SELECT p_partkey, remaining - c, list_append(coins, c) FROM (SELECT p_partkey, remaining, coins,
+        CASE WHEN remaining >= 17 AND b[greatest(remaining - 16, 1)] = b[remaining + 1] - 1 THEN 17 WHEN remaining >= 10 AND b[greatest(remaining - 9, 1)] = b[remaining + 1] - 1 THEN 10 WHEN remaining >= 5 AND b[greatest(remaining - 4, 1)] = b[remaining + 1] - 1 THEN 5 ELSE 1 END AS c
+        FROM w, f WHERE remaining > 0))
+    SELECT p_partkey, array_to_string(coins, '+') AS coins FROM w WHERE remaining = 0""",
+)
+def coin_breakdown(spark, sf_dir):
+    """The coins themselves."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("+", M.coin_breakdown(F.col("p_size"), [17, 10, 5, 1]).cast("array<string>")).alias("coins"))
+
+
 @query("coin_change_limited", COINS.replace(", CASE WHEN t >= 16 THEN b[t - 15] ELSE 1000 END", "") + " SELECT p_partkey, least(b[p_size + 1], CASE WHEN p_size >= 17 THEN b[p_size - 16] + 1 ELSE 1000 END)::INTEGER AS coins FROM p, f")
 def coin_change_limited(spark, sf_dir):
     """G15 with one coin of 17 at most."""

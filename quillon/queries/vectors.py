@@ -140,6 +140,18 @@ def regression_errors(spark, sf_dir):
     return P.squared_error(rows, "y", "p", "w").select(F.round("mse", 2).alias("mse"), F.round("rmse", 4).alias("rmse"))
 
 
+@query(
+    "weighted_errors",
+    "WITH t AS (SELECT l_extendedprice AS y, l_quantity * 1500.0::DOUBLE AS p, CASE WHEN l_linenumber > 2 THEN l_discount ELSE 1 END AS w FROM lineitem) SELECT round(sum(w * (y - p) * (y - p)) / sum(w), 2) AS mse, round(sqrt(sum(w * (y - p) * (y - p)) / sum(w)), 4) AS rmse, round(sum(w), 2) AS weight FROM t",
+)
+def weighted_errors(spark, sf_dir):
+    """Rows without a weight weigh 1."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * F.lit(1500.0)).alias("p"), F.when(F.col("l_linenumber") > 2, F.col("l_discount")).alias("w"))
+    total = rows.agg(F.round(F.sum(P.sample_weight("w")), 2).alias("weight"))
+    found = P.squared_error(rows, "y", "p", "w").select(F.round("mse", 2).alias("mse"), F.round("rmse", 4).alias("rmse"))
+    return found.crossJoin(F.broadcast(total))  # one row each
+
+
 @query("bounds", f"WITH {E}, x AS (SELECT i - 1 AS dim, v[i] AS x FROM e, (SELECT unnest(range(1, 65))::INTEGER AS i)) SELECT dim, round(min(x) - (max(x) - min(x)) * 0.01::DOUBLE, 6) + 0 AS low, round(max(x) + (max(x) - min(x)) * 0.01::DOUBLE, 6) + 0 AS high FROM x GROUP BY dim")
 def bounds(spark, sf_dir):
     return P.bounds(embeddings(spark, sf_dir), "v").select("dim", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))

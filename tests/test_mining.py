@@ -189,3 +189,40 @@ def test_coins(spark):
 def test_one_hot_items(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "tx int, item string")
     assert sorted(tuple(r) for r in M.one_hot_items(df, "tx", "item").collect()) == [(1, 1, 1), (2, 0, 1)]
+
+
+def test_running_sums_over_ranges(spark):
+    from quillon.core.ordering import running_sum
+
+    rows = [(k * 37 % 101, k % 5, None if k % 9 == 0 else k) for k in range(101)]
+    df = spark.createDataFrame(rows, "a long, b int, n int").repartition(7)
+    upto, want = 0, {}
+    for place, (a, b, n) in enumerate(sorted(rows, key=lambda r: r[0])):
+        upto += n or 0
+        want[a] = (place + 1, upto)
+    places = {r.a: r.upto for r in running_sum(df, ["a"]).collect()}
+    sums = {r.a: r.s for r in running_sum(df, ["a"], F.col("n"), "s").collect()}
+    assert places == {a: p for a, (p, _) in want.items()}
+    assert {a: s or 0 for a, s in sums.items()} == {a: s for a, (_, s) in want.items()}
+    assert sorted(r.upto for r in running_sum(df, ["b"]).collect()) == list(range(1, 102))
+    assert running_sum(df.limit(0), ["a"]).collect() == []
+
+
+def test_coins_themselves(spark):
+    df = spark.range(0, 60).select(F.col("id").cast("int").alias("t"))
+    for coins in ([17, 10, 5, 1], [7, 4], [3]):
+        for r in df.select("t", M.coin_breakdown(F.col("t"), coins).alias("c")).collect():
+            want = M.breakdown(r.t, coins)
+            if r.t and not want:
+                assert r.c is None
+            else:
+                assert sum(r.c) == r.t and {c: r.c.count(c) for c in r.c} == want
+
+
+def test_louds_search_against_the_code(spark):
+    words = ["ab", "abc", "b", "bca", "", "cab"]
+    asked = ["", "a", "ab", "abc", "abcd", "b", "bc", "bca", "c", "ca", "cab", "d", None]
+    held = M.LoudsTrie(words)
+    coded = M.louds(M.trie(spark.createDataFrame([(w,) for w in words], "w string"), "w"))
+    found = M.louds_search(spark.createDataFrame([(q,) for q in asked], "q string"), "q", coded).collect()
+    assert {r.q: (r.node, r.place) for r in found} == {q: (-1, -1) if q is None else (held.node(q), held.search(q)) for q in asked}

@@ -331,3 +331,9 @@ def test_gaussian_mixture_emissions(spark):
     told = np.array(model.decode(df, "s", "obs").first().states)
     assert max((told == label).mean(), (told != label).mean()) > 0.9 and model.history[-1] > model.history[0]
     assert len(model.sample(4)[0]) == 4
+
+
+def test_failure_array(spark):
+    texts = ["", "a", "aaaa", "abab", "abcabcd", "aabaaab", "xyz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.f for r in df.select("t", S.failure_array(F.col("t")).alias("f")).collect()} == {t: S.failure(t) for t in texts}
