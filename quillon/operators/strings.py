@@ -140,11 +140,12 @@ def run_length_decoded(t: Column) -> Column:
 def occurrences_of(ranked: DataFrame, queries: DataFrame, id_col: str, query: str) -> DataFrame:
     """Q24: (query, id, sa) of every place where a query starts, by the range of suffixes that begin with it.
 
-    Queries meet suffixes that share their first character, then the prefix test decides.
+    Queries meet suffixes that share their first character, then the prefix test decides. The queries go to every
+    task, which never moves the suffixes.
     """
     asked = queries.select(F.col(query).alias("query")).where(F.length("query") > 0).distinct().withColumn("_first", F.substr("query", F.lit(1), F.lit(1)))
     keyed = ranked.withColumn("_first", F.substr("suffix", F.lit(1), F.lit(1)))
-    return keyed.join(asked, "_first").where(F.startswith("suffix", "query")).select("query", id_col, "sa")
+    return keyed.join(F.broadcast(asked), "_first").where(F.startswith("suffix", "query")).select("query", id_col, "sa")
 
 
 def tandem_score(hits: DataFrame, id_col: str) -> DataFrame:

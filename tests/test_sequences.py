@@ -337,3 +337,12 @@ def test_failure_array(spark):
     texts = ["", "a", "aaaa", "abab", "abcabcd", "aabaaab", "xyz"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.f for r in df.select("t", S.failure_array(F.col("t")).alias("f")).collect()} == {t: S.failure(t) for t in texts}
+
+
+def test_suffixes_are_never_broadcast(spark):
+    df = spark.range(3).selectExpr("id", "repeat('reading all the rest ', 3) AS t")
+    ranked = S.suffixes(df, "id", "t")
+    asked = spark.createDataFrame([("re",), ("l",)], "q string")
+    plan = lambda found: found._jdf.queryExecution().sparkPlan().toString()
+    assert "Inner, BuildRight" in plan(S.occurrences_of(ranked, asked, "id", "q"))
+    assert "Join" not in plan(S.last_to_first(S.occurrences(S.bwt(ranked, "id"), "id")))
