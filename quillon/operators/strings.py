@@ -35,17 +35,17 @@ def suffixes(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def bwt(ranked: DataFrame, id_col: str) -> DataFrame:
     """Q13: suffixes() with the character before each suffix (the end mark before the whole text)."""
-    whole = ranked.where("sa = 0").select(id_col, F.col("suffix").alias("_whole"))
-    return ranked.join(whole, id_col).withColumn("bwt", F.when(F.col("sa") == 0, F.lit(END)).otherwise(F.substr("_whole", F.col("sa"), F.lit(1)))).drop("_whole")
+    # windows rather than joins here and below: the planner takes suffixes for as small as their texts and broadcasts them
+    whole = F.max(F.when(F.col("sa") == 0, F.col("suffix"))).over(Window.partitionBy(id_col))
+    before = F.when(F.col("sa") == 0, F.lit(END)).otherwise(F.substr("_whole", F.col("sa"), F.lit(1)))
+    return ranked.withColumn("_whole", whole).withColumn("bwt", before).drop("_whole")
 
 
 def occurrences(ranked: DataFrame, id_col: str) -> DataFrame:
     """Q14: bwt() rows with occ, the number of equal characters up to the rank, and smaller, that of smaller characters in all."""
     upto = Window.partitionBy(id_col, "bwt").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = ranked.groupBy(id_col, "bwt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(id_col).orderBy("bwt").rowsBetween(Window.unboundedPreceding, -1)
-    smaller = counts.select(id_col, "bwt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("smaller"))
-    return ranked.withColumn("occ", F.count(F.lit(1)).over(upto)).join(smaller, [id_col, "bwt"])
+    before = Window.partitionBy(id_col).orderBy("bwt")
+    return ranked.withColumn("occ", F.count(F.lit(1)).over(upto)).withColumn("smaller", (F.rank().over(before) - 1).cast("long"))
 
 
 def last_to_first(with_occ: DataFrame) -> DataFrame:
