@@ -6,7 +6,7 @@ import hashlib
 import heapq
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +37,29 @@ class Bloom:
         """One bit number for each slice, from salted 64-bit hashes."""
         return F.transform(F.sequence(F.lit(0), F.lit(self.slices - 1)), lambda i: F.pmod(F.xxhash64(i, item), F.lit(self.bits)))
 
+    def grown(self, *members: DataFrame) -> Bloom:
+        """This filter, or one of doubled capacity until each table's distinct items fit; the rate stays as it is.
+
+        Filters that are to be united or intersected are grown together, since theirs must be equal.
+        """
+        most, capacity = max(df.distinct().count() for df in members), self.capacity
+        while capacity < most:
+            capacity *= 2
+        return replace(self, capacity=capacity)
+
     def add(self, df: DataFrame, item: str) -> DataFrame:
         """The set bits of a table's items; more distinct items than the capacity are an error (IndexError)."""
-        if df.select(item).distinct().limit(self.capacity + 1).count() > self.capacity:
+        items = df.select(item).distinct()
+        if items.count() > self.capacity:
             raise IndexError("the filter is at capacity")
-        return df.select(F.posexplode(self.places(F.col(item))).alias("slice", "bit")).distinct()
+        return items.select(F.posexplode(self.places(F.col(item))).alias("slice", "bit")).distinct()
 
     def has(self, df: DataFrame, item: str, bits: DataFrame, out: str = "found") -> DataFrame:
         """df's distinct items with whether every one of their bits is set: no member is missed."""
         asked = df.select(F.col(item).alias("_item")).distinct()
         long = asked.select("_item", F.posexplode(self.places(F.col("_item"))).alias("slice", "bit"))
-        hit = long.join(bits.withColumn("_on", F.lit(1)), ["slice", "bit"], "left").groupBy("_item").agg((F.count("_on") == self.slices).alias(out))
+        # a merge, as the planner takes bits for as small as the items they come from and broadcasts them
+        hit = long.join(bits.withColumn("_on", F.lit(1)).hint("merge"), ["slice", "bit"], "left").groupBy("_item").agg((F.count("_on") == self.slices).alias(out))
         return hit.withColumnRenamed("_item", item)
 
     def fill_ratio(self, bits: DataFrame) -> float:
@@ -60,7 +72,7 @@ def bloom_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def bloom_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    return a.join(b.hint("merge"), ["slice", "bit"], "left_semi").distinct()
 
 
 def _digest_plan(bits: int, count: int) -> tuple[int, str, int]:

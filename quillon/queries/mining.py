@@ -13,7 +13,7 @@ from quillon.queries._registry import query
 def bloom_membership(spark, sf_dir):
     """Every customer with an order is found in the filter of those customers."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
-    bloom = M.Bloom(200_000, 0.001)
+    bloom = M.Bloom(200_000, 0.001).grown(keys)
     return bloom.has(keys, "key", bloom.add(keys, "key"))
 
 
@@ -21,8 +21,8 @@ def bloom_membership(spark, sf_dir):
 def bloom_union(spark, sf_dir):
     """The union of the filters of two halves holds all."""
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
-    bloom = M.Bloom(200_000, 0.001)
-    rich, poor = keys.where("c_acctbal > 5000"), keys.where("c_acctbal <= 5000")
+    rich, poor = keys.where("c_acctbal > 5000").select("key"), keys.where("c_acctbal <= 5000").select("key")
+    bloom = M.Bloom(200_000, 0.001).grown(keys.select("key"))
     return bloom.has(keys, "key", M.bloom_union(bloom.add(rich, "key"), bloom.add(poor, "key")))
 
 
@@ -31,9 +31,9 @@ def bloom_intersection(spark, sf_dir):
     """What is in both filters is in their intersection."""
     rich = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("key"))
     buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
-    bloom = M.Bloom(200_000, 0.001)
+    bloom = M.Bloom(200_000, 0.001).grown(rich, buyers)
     both = M.bloom_intersection(bloom.add(rich, "key"), bloom.add(buyers, "key"))
-    return bloom.has(rich.join(buyers, "key", "left_semi"), "key", both)
+    return bloom.has(rich.join(buyers.hint("merge"), "key", "left_semi"), "key", both)
 
 
 @query(

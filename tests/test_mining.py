@@ -36,6 +36,27 @@ def test_louds_trie(words):
             assert (p in trie) == (p in words)
 
 
+def test_bloom_grows_to_its_members(spark):
+    keys, few = spark.range(500).selectExpr("id AS key"), spark.range(3).selectExpr("id AS key")
+    bloom = M.Bloom(100, 0.001)
+    assert bloom.grown(few) == bloom
+    big = bloom.grown(keys, few)
+    assert big.capacity == 800 and big.error_rate == 0.001
+    bits = big.add(keys, "key")
+    assert big.has(keys, "key", bits).where("found").count() == 500
+    assert big.has(few, "key", M.bloom_intersection(bits, big.add(few, "key"))).where("found").count() == 3
+
+
+@pytest.mark.parametrize("name", ["bloom_membership", "bloom_union", "bloom_intersection"])
+def test_bloom_queries_take_any_number(spark, monkeypatch, name):
+    made = M.Bloom
+    monkeypatch.setattr(M, "Bloom", lambda capacity, rate: made(20, rate))
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() > 20 and found.where("not found").isEmpty()
+
+
+
 def test_trie_rows(spark):
     words = ["car", "cart", "dog", "", "do", "dog", None]
     nodes = M.trie(spark.createDataFrame([(w,) for w in words], "w string"), "w")
