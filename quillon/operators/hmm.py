@@ -168,6 +168,10 @@ class Hmm:
         self.check()
         return self
 
+    def places(self, seq: list) -> np.ndarray:
+        """A sequence's observations as an array."""
+        return np.array(seq)
+
     def log_emissions(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
@@ -194,7 +198,7 @@ class Hmm:
                 for seq in batch.column(0).to_pylist():
                     if not seq:
                         continue
-                    x = np.array(seq)
+                    x = model.places(seq)
                     pi, a, b = model.logs(x)
                     alpha, beta = passes(pi, a, b)
                     score = float(logsumexp(alpha[-1], 0))
@@ -248,7 +252,7 @@ class Hmm:
                     if not seq:
                         out.append((None, None, None, None))
                         continue
-                    pi, a, b = model.logs(np.array(seq))
+                    pi, a, b = model.logs(model.places(seq))
                     alpha, beta = passes(pi, a, b)
                     whole = float(logsumexp(alpha[-1], 0))
                     gamma = np.exp(alpha + beta - whole)
@@ -385,7 +389,8 @@ class Mss(Hmm):
 class Gaussian(Hmm):
     """Vectors; covariances are full, tied, diag or spherical, with priors on means and covariances.
 
-    The start is K-Means over all observations and their common covariance.
+    The start is K-Means over all observations and their common covariance. A component that is null (as the logarithm
+    of 0) is not observed: the others count by their marginal density, and sums take its expectation given them.
     """
 
     kind: str = "diag"
@@ -401,20 +406,49 @@ class Gaussian(Hmm):
         super().start(df, obs)
         if len(self.means):
             return
-        flat = df.select(F.explode(obs).alias("x")).withColumn("id", F.monotonically_increasing_id())
+        whole = F.forall("x", lambda v: v.isNotNull())
+        flat = df.select(F.explode(obs).alias("x")).where(whole).withColumn("id", F.monotonically_increasing_id())
         self.means = KMeans(self.n_states, max_iter=20, seed=self.seed).fit(flat, "id", "x").centres
         from quillon.operators.linalg import covariance
 
         _, cov, _ = covariance(flat, F.col("x"))
         self.covars = covariance_as(cov + 1e-3 * np.eye(len(cov)), self.kind, self.n_states)
 
+    def places(self, seq: list) -> np.ndarray:
+        return np.array([[None] * self.means.shape[1] if v is None else v for v in seq], float)
+
+    def _observed(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(which components, which rows) for each set of components that some rows have."""
+        sets, where = np.unique(~np.isnan(x), axis=0, return_inverse=True)
+        for i, seen in enumerate(sets):
+            yield seen, np.flatnonzero(where.ravel() == i)
+
     def log_emissions(self, x: np.ndarray) -> np.ndarray:
         covs = [self.covars] * self.n_states if self.kind == "tied" else self.covars
-        return np.stack([log_normal(x, m, c, self.kind) for m, c in zip(self.means, covs, strict=True)], 1)
+        out = np.zeros((len(x), self.n_states))
+        for seen, rows in self._observed(x):
+            if not seen.any():
+                continue
+            part = (lambda c: c) if self.kind == "spherical" else (lambda c, seen=seen: c[seen]) if self.kind == "diag" else (lambda c, seen=seen: c[np.ix_(seen, seen)])
+            out[rows] = np.stack([log_normal(x[rows][:, seen], m[seen], part(c), self.kind) for m, c in zip(self.means, covs, strict=True)], 1)
+        return out
 
     def statistics(self, x: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-        z = np.hstack([np.ones((len(x), 1)), x])
-        return np.einsum("nk,ni,nj->kij", gamma, z, z).ravel()
+        k, d = self.n_states, self.means.shape[1]
+        out = np.zeros((k, d + 1, d + 1))
+        for seen, rows in self._observed(x):
+            if seen.all():
+                z = np.hstack([np.ones((len(rows), 1)), x[rows]])
+                out += np.einsum("nk,ni,nj->kij", gamma[rows], z, z)
+                continue
+            gone = ~seen
+            for i, (m, c) in enumerate(zip(self.means, covariance_full(self.covars, self.kind, k, d), strict=True)):
+                gain = np.linalg.solve(c[np.ix_(seen, seen)], c[np.ix_(seen, gone)])
+                z = np.hstack([np.ones((len(rows), 1)), x[rows]])
+                z[:, 1:][:, gone] = m[gone] + (x[rows][:, seen] - m[seen]) @ gain
+                out[i] += np.einsum("n,ni,nj->ij", gamma[rows, i], z, z)
+                out[i, 1:, 1:][np.ix_(gone, gone)] += gamma[rows, i].sum() * (c[np.ix_(gone, gone)] - c[np.ix_(gone, seen)] @ gain)
+        return out.ravel()
 
     def renew(self, s: np.ndarray) -> None:
         k, d = self.n_states, self.means.shape[1]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.operators import alignment, folding, hmm, scode
 from quillon.operators import strings as S
 from quillon.operators.sequences import runs
+from quillon.queries import QUERIES
 
 # -- hidden Markov models
 
@@ -346,3 +347,32 @@ def test_suffixes_are_never_broadcast(spark):
     plan = lambda found: found._jdf.queryExecution().sparkPlan().toString()
     assert "Inner, BuildRight" in plan(S.occurrences_of(ranked, asked, "id", "q"))
     assert "Join" not in plan(S.last_to_first(S.occurrences(S.bwt(ranked, "id"), "id")))
+
+
+@pytest.mark.parametrize("kind", ["full", "tied", "diag", "spherical"])
+def test_gaussian_components_that_are_not_observed(spark, kind):
+    rng = np.random.default_rng(4)
+    rows = [[[float(v) for v in rng.normal(4 * (t % 2), 1, 2)] for t in range(6)] for _ in range(30)]
+    for i in range(0, 30, 3):
+        rows[i][1][0] = None
+        rows[i][4] = [None, None] if i % 2 else None
+    df = spark.createDataFrame([(r,) for r in rows], "obs array<array<double>>")
+    means = np.array([[0.0, 0.5], [3.0, 3.5]])
+    cov = np.array([[1.0, 0.4], [0.4, 2.0]])
+    start = hmm.Gaussian(2, kind=kind, means=means, covars=hmm.covariance_as(cov, kind, 2))
+    start.start(None, "obs")
+    one = spark.createDataFrame([([[None, 2.0]],), ([[None, None]],)], "obs array<array<double>>")
+    var = cov[1, 1] if kind != "spherical" else 1.5
+    density = start.initial @ (np.exp(-((2.0 - means[:, 1]) ** 2) / 2 / var) / np.sqrt(2 * np.pi * var))
+    assert np.isclose(start.score(one, "obs"), np.log(density))
+    model = hmm.Gaussian(2, kind=kind, cov_prior=1e-9, means=means, covars=hmm.covariance_as(cov, kind, 2)).fit(df, "obs", max_iter=8, tol=0.0)
+    assert (np.diff(model.history) > -1e-6).all() and np.isfinite(model.history).all()  # no step of EM lowers it
+    assert model.decode(df.withColumn("id", F.monotonically_increasing_id()), "id", "obs").where("size(states) = 6").count() == 30
+
+
+def test_gaussian_fits_with_values_of_zero(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("value", F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(F.col("value"))).write.parquet(f"{tmp_path}/events.parquet")
+    for kind in ("full", "tied", "diag", "spherical"):
+        steps = QUERIES[f"hmm_fit_gaussian_{kind}"](spark, str(tmp_path)).collect()
+        assert len(steps) == 3 and all(np.isfinite(r["log_likelihood"]) for r in steps)
