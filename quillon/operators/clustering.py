@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.core.ordering import running_sum
+from quillon.core.scratch import stored
 from quillon.functions import vectors as V
 from quillon.operators.graph import connected_components
 from quillon.operators.linalg import stacked
@@ -151,23 +153,49 @@ def cluster_accuracy(df: DataFrame, truth: str, cluster: str) -> float:
 # -- DBSCAN
 
 
-def epsilon_pairs(df: DataFrame, id_col: str, vector: str, eps: float, dims: int) -> DataFrame:
+def epsilon_pairs(df: DataFrame, id_col: str, vector: str, eps: float, dims: int, rows_a_block: int = 4_000) -> DataFrame:
     """(a, b) ids within eps of each other, both ways and each with itself: a band join over grid cells.
 
     Distances are those of whole vectors. The grid is laid over the first dims components only, which are never
-    farther apart than the vectors: cells have side eps, so partners lie in the 3^dims cells around; rows go to one cell and are compared with
-    copies dealt to the neighbours. A cell that holds a large share of all rows makes the square of it in pairs,
-    as the definition of a neighbourhood has it.
+    farther apart than the vectors: cells have side eps, so partners lie in the 3^dims cells around; rows stay in their cell and
+    are compared with copies dealt to the neighbours. Both sides of a cell are cut into blocks, so a task compares two blocks
+    however many rows a cell holds: one matrix product finds the candidates, differences decide.
     """
     cells = F.transform(F.slice(vector, 1, dims), lambda x: F.floor(x / F.lit(eps)))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), cells.alias("cell"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), cells.alias("cell"))
     around = rows
     for d in range(dims):
         shift = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
         around = around.withColumn("_s", shift)
         around = around.withColumn("cell", _shifted(d)).drop("_s")
-    other = around.select(F.col("id").alias("b"), F.col("v").alias("w"), "cell")
-    return rows.join(other, "cell").where(V.sq_distance(F.col("v"), F.col("w")) <= F.lit(eps * eps)).select(F.col("id").alias("a"), "b")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(rows_a_block))
+    home = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("own"))
+    sizes = stored(around.groupBy("cell").agg(F.count(F.lit(1)).alias("met")).join(home, "cell").select("cell", blocks("own").alias("own"), blocks("met").alias("met")), "cells")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    placed = lambda side, n: side.join(sizes, "cell").withColumn("_at", F.pmod(F.xxhash64("id"), F.col(n)))
+    left = placed(rows, "own").select("cell", F.col("_at").alias("i"), each("met").alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = placed(around, "met").select("cell", each("own").alias("i"), F.col("_at").alias("j"), F.lit(1).alias("side"), "id", "v")
+
+    def near(part: pa.Table) -> pa.Table:
+        mine, theirs = (part.filter(pc.equal(part["side"], side)) for side in (0, 1))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(mine) and len(theirs):
+            x, y = stacked(mine["v"]), stacked(theirs["v"])
+            norms = (y * y).sum(1)
+            for at in range(0, len(x), 500):
+                some = x[at : at + 500]
+                own = (some * some).sum(1)
+                slack = 1e-9 * (1 + own[:, None] + norms[None, :])  # more than the product's rounding
+                i, j = np.nonzero(own[:, None] + norms[None, :] - 2 * some @ y.T <= eps * eps + slack)
+                for k in range(0, len(i), 100_000):
+                    p, q = i[k : k + 100_000], j[k : k + 100_000]
+                    close = np.sqrt(((some[p] - y[q]) ** 2).sum(1)) <= eps
+                    found.append((p[close] + at, q[close]))
+        i, j = (np.concatenate([f[n] for f in found] or [np.empty(0, int)]) for n in (0, 1))
+        return pa.table({"a": mine["id"].take(pa.array(i)), "b": theirs["id"].take(pa.array(j))})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return left.unionAll(right).groupBy("cell", "i", "j").applyInArrow(near, f"a {kind}, b {kind}")
 
 
 def _shifted(dim: int) -> Column:
@@ -180,7 +208,7 @@ def dbscan(df: DataFrame, id_col: str, vector: str, eps: float = 0.5, min_sample
     A row is core if min_samples rows, itself included, lie within eps. Core rows within eps share a cluster; a
     border row joins the lowest-numbered cluster next to it. Vectors count whole; dims is that of the search grid.
     """
-    near = epsilon_pairs(df, id_col, vector, eps, dims)
+    near = stored(epsilon_pairs(df, id_col, vector, eps, dims), "near")
     core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
     inside = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
     linked = connected_components(inside.where("a < b"), "dbscan")

@@ -103,9 +103,10 @@ NEAR = f"{E}, n AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e
 
 @query("dbscan_core", f"WITH {NEAR} SELECT vec_id, vec_id IN (SELECT id FROM core) AS core, (SELECT count(*) FROM n WHERE a = vec_id) AS neighbours FROM e")
 def dbscan_core(spark, sf_dir):
-    near = C.epsilon_pairs(embeddings(spark, sf_dir), "vec_id", "v", EPS, 2)
-    counts = near.groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("neighbours"))
-    return counts.select("vec_id", (F.col("neighbours") >= LEAST).alias("core"), "neighbours")
+    rows = embeddings(spark, sf_dir)
+    near = C.epsilon_pairs(rows, "vec_id", "v", EPS, 2)
+    counts = rows.select("vec_id").join(near.groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")), "vec_id", "left")
+    return counts.select("vec_id", F.coalesce(F.col("n") >= LEAST, F.lit(False)).alias("core"), F.coalesce("n", F.lit(0)).cast("long").alias("neighbours"))
 
 
 @query(

@@ -287,3 +287,14 @@ def test_loops(spark):
         loops.one_of(mode=("x", ("a", "b")))
     with pytest.raises(ValueError):
         loops.iterate(None, 0, -1)
+
+
+def test_epsilon_pairs_cut_full_cells_into_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.3, (90, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = clustering.epsilon_pairs(df, "id", "v", 0.9, 2, rows_a_block=7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan  # distances are not folded row by row
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((int(i), int(j)) for i, j in np.argwhere(d <= 0.9))
