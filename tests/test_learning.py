@@ -298,3 +298,17 @@ def test_epsilon_pairs_cut_full_cells_into_blocks(spark):
     assert "zip_with" not in plan  # distances are not folded row by row
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     assert sorted((r.a, r.b) for r in found.collect()) == sorted((int(i), int(j)) for i, j in np.argwhere(d <= 0.9))
+
+
+def test_smo_by_rows_of_the_gram_matrix():
+    x = np.random.default_rng(2).normal(size=(60, 5))
+    t = np.where(x[:, 0] + x[:, 1] ** 2 > 0.5, 1.0, -1.0)
+    rows = svm.GramRows("gaussian", x, kept_bytes=3 * 8 * 60, sigma=1.0)
+    whole = regression.kernel_values("gaussian", x, x, sigma=1.0)
+    a, b = svm.smo(rows, t, 10.0, 20)
+    want, c = svm.smo(whole, t, 10.0, 20)
+    assert len(rows.kept) <= 3 and np.allclose([rows[i] for i in range(60)], whole)
+    worth = lambda a: a.sum() - (a * t) @ whole @ (a * t) / 2
+    assert np.isclose(worth(a), worth(want), rtol=1e-3) and np.isclose(b, c, atol=0.05)  # the order of rounding bends the path
+    assert np.mean(np.sign(whole @ (a * t) + b) == t) >= 0.95
+    assert svm.Svm().max_rows is None
