@@ -2,8 +2,8 @@
 
 Formulas that act on columns are expressions. Optimiser rules are written once over plain arithmetic, so the same
 rule updates numpy weights and folds over a column. Layers are numpy over batches; scoring streams in Arrow
-batches, and training is by mini-batches on the driver over a bounded table, or by full-batch gradients summed in
-Spark over any table.
+batches, and training is by mini-batches on the driver, which holds a bounded number of rows at a time, or by full-batch
+gradients summed in Spark.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.core.scratch import stored
 from quillon.functions import vectors as V
 from quillon.operators.linalg import stacked
 
@@ -499,6 +500,13 @@ class MaxPooling2D(Layer):
         return out
 
 
+def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and targets of (id, features, target, ...) rows; a scalar target is a vector of numbers."""
+    table = rows.toArrow()
+    x, y = (stacked(c) if pa.types.is_list(c.type) else c.to_numpy() for c in (table.column(1), table.column(2)))
+    return x.astype(float), y.astype(float)
+
+
 @dataclass
 class Sequential:
     """Layers one after the other. Input shapes are without the batch."""
@@ -554,25 +562,52 @@ class Sequential:
             layer = self.layers[i]
             layer.weights[k], self.state[i, k] = self.optimiser.rule(layer.weights[k], g, self.state[i, k], float(self.step), NUMPY)
 
+    def sweep(self, x: np.ndarray, y: np.ndarray, batch_size: int) -> float:
+        """One update for each batch of rows in order; the sum of the rows' losses."""
+        total = 0.0
+        for at in range(0, len(x), batch_size):
+            some = slice(at, at + batch_size)
+            total += self.gradients(x[some], y[some]) * len(x[some])
+            self.update()
+        return total
+
     def fit_arrays(self, x: np.ndarray, y: np.ndarray, batch_size: int = 32, epochs: int = 1, shuffle: bool = True) -> Sequential:
         """Seeded shuffles, mean gradients of mini-batches."""
         rng = np.random.default_rng(self.seed)
         for _ in range(epochs):
             order = rng.permutation(len(x)) if shuffle else np.arange(len(x))
-            losses = []
-            for at in range(0, len(x), batch_size):
-                rows = order[at : at + batch_size]
-                losses.append(self.gradients(x[rows], y[rows]) * len(rows))
-                self.update()
-            self.history.append(sum(losses) / max(1, len(x)))
+            self.history.append(self.sweep(x[order], y[order], batch_size) / max(1, len(x)))
         return self
 
-    def fit(self, df: DataFrame, id_col: str, features: str, target: str, batch_size: int = 32, epochs: int = 1, max_rows: int = 50_000) -> Sequential:
-        """Mini-batches over a table of at most max_rows rows, in the order of their ids."""
-        rows = df.select(id_col, features, target).orderBy(id_col).limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
+    def fit(self, df: DataFrame, id_col: str, features: str, target: str, batch_size: int = 32, epochs: int = 1, max_rows: int | None = None, held_rows: int = 50_000) -> Sequential:
+        """Mini-batches over a table, in the order of its ids; more than max_rows rows are an error.
+
+        The driver holds held_rows rows at most: of a larger table each epoch deals all rows to chunks of half as many by a
+        hash of id and epoch, and takes the chunks one after the other, each shuffled. Batches go on over a chunk's end.
+        """
+        rows = df.select(id_col, features, target)
+        n = rows.count()
+        if max_rows is not None and n > max_rows:
             raise ValueError(f"at most {max_rows} rows; fit_sums takes any number")
-        return self.fit_arrays(np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float), batch_size, epochs)
+        if n <= held_rows:
+            return self.fit_arrays(*_arrays(rows.orderBy(id_col)), batch_size, epochs)
+        rng, chunks = np.random.default_rng(self.seed), -(-n // max(1, held_rows // 2))
+        for epoch in range(epochs):
+            chunk = F.pmod(F.xxhash64(F.col(id_col), F.lit(self.seed * 1_000 + epoch)), F.lit(chunks))
+            dealt = stored(rows.withColumn("_chunk", chunk).repartition("_chunk").sortWithinPartitions("_chunk"), "epoch")
+            total, rest = 0.0, []
+            for c in range(chunks):
+                x, y = _arrays(dealt.where(F.col("_chunk") == c).orderBy(id_col))
+                order = rng.permutation(len(x))
+                parts = [*rest, *([(x[order], y[order])] if len(x) else [])]
+                if not parts:
+                    continue
+                x, y = (np.concatenate(some) for some in zip(*parts, strict=True))
+                whole = len(x) if c == chunks - 1 else len(x) // batch_size * batch_size
+                total += self.sweep(x[:whole], y[:whole], batch_size)
+                rest = [(x[whole:], y[whole:])]
+            self.history.append(total / n)
+        return self
 
     def fit_sums(self, df: DataFrame, features: str, target: str, steps: int = 10) -> Sequential:
         """Full-batch steps over a table of any size: tasks send one sum of gradients each."""

@@ -114,3 +114,17 @@ def test_dropout_and_initialisers():
     assert np.isclose(N.initialise("he_normal", (400, 300), 1).std(), np.sqrt(2 / 300), rtol=0.02)
     with pytest.raises(KeyError):
         N.initialise("luck", (2, 2))
+
+
+def test_mini_batches_over_more_rows_than_are_held(spark):
+    pdf = sampling.blobs(230, 2, 4, 0.5, seed=5)
+    df = spark.createDataFrame([(int(r.id), [float(v) for v in r.features], np.eye(2)[r.label].tolist()) for r in pdf.itertuples()], "id int, x array<double>, y array<double>")
+    model = N.Sequential([N.Dense(2, "softmax", "glorot_normal")], 1).compile((4,), N.adam(0.05), "categorical_crossentropy")
+    seen, update = [], model.gradients
+    model.gradients = lambda x, y: seen.append(x) or update(x, y)
+    model.fit(df, "id", "x", "y", 16, 3, held_rows=50)
+    assert [len(x) for x in seen] == ([16] * 14 + [6]) * 3  # no batch ends with a chunk
+    whole = np.sort(np.stack(pdf.features), axis=0)
+    epochs = [np.concatenate(seen[i : i + 15]) for i in (0, 15, 30)]
+    assert all(np.allclose(np.sort(x, axis=0), whole) for x in epochs) and not np.allclose(epochs[0], epochs[1])
+    assert len(model.history) == 3 and model.history[-1] < model.history[0]
