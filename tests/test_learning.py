@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import boosting, clustering, decomposition, preprocessing, regression, sampling, svm, tree
 from quillon.operators.linalg import covariance, moments
+from quillon.queries import QUERIES
 
 
 def frame(spark, pdf):
@@ -312,3 +313,30 @@ def test_smo_by_rows_of_the_gram_matrix():
     assert np.isclose(worth(a), worth(want), rtol=1e-3) and np.isclose(b, c, atol=0.05)  # the order of rounding bends the path
     assert np.mean(np.sign(whole @ (a * t) + b) == t) >= 0.95
     assert svm.Svm().max_rows is None
+
+
+def test_embeddings_by_blocks_are_those_of_whole_matrices(spark):
+    df = frame(spark, sampling.blobs(90, 3, 5, 0.3, seed=6))
+    told = lambda found: np.array([r.y for r in found.orderBy("id").collect()])
+    kernel = lambda dense: told(decomposition.KernelPca(2, parameters={"sigma": 3.0}, dense_rows=dense).fit_transform(df, "id", "features"))
+    assert np.allclose(kernel(10), kernel(90), atol=1e-7)
+    embedded = lambda dense: told(decomposition.tsne_embed(df, "id", "features", dense_rows=dense, epochs=12, perplexity=10, rate=50))
+    assert np.allclose(embedded(10), embedded(90), rtol=1e-6, atol=1e-8)
+
+
+def test_leading_eigenvectors():
+    m = np.random.default_rng(5).normal(size=(60, 60))
+    m = m + m.T
+    for most in (3, 30):  # with restarts and without
+        found = decomposition.leading(lambda v: m @ v, 60, 3, most=most)
+        _, want = np.linalg.eigh(m)
+        assert np.allclose(np.abs(found.T @ want[:, ::-1][:, :3]), np.eye(3), atol=1e-5)
+    flat = decomposition.leading(lambda v: np.ones((20, 20)) @ v, 20, 2)  # one eigenvalue and a space of zeros
+    assert np.allclose(np.abs(flat[:, 0]), 20**-0.5)
+
+
+@pytest.mark.parametrize("name", ["kpca_fit", "tsne_fit", "umap_fit"])
+def test_embedding_queries_take_more_than_5000_rows(spark, tmp_path, name):
+    rows = spark.range(5_003).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> cast(sin(id * i) as float)) AS embedding", "cast(id % 3 as int) AS label")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).where("size(y) = 2").count() == 5_003
