@@ -335,6 +335,34 @@ def test_leading_eigenvectors():
     assert np.allclose(np.abs(flat[:, 0]), 20**-0.5)
 
 
+def test_leading_eigenvectors_from_an_approximation_take_few_products():
+    x = np.random.default_rng(3).normal(size=(400, 30))
+    k = x @ np.diag(np.linspace(2, 1, 30)) @ x.T
+    rough = k + 0.5 * np.diag(np.random.default_rng(4).normal(size=400))
+    values, vectors = np.linalg.eigh(rough)
+    calls = []
+    apply = lambda v: (calls.append(v.shape[1]), k @ v)[1]
+    found = decomposition.leading_from(apply, vectors[:, ::-1][:, :30], values[::-1][:30], 2)
+    _, want = np.linalg.eigh(k)
+    assert np.allclose(np.abs(found.T @ want[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+    assert len(calls) <= 8 and sum(calls) <= 24
+    calls.clear()
+    found = decomposition.leading_from(apply, np.linalg.qr(np.random.default_rng(5).normal(size=(400, 5)))[0], np.ones(5), 2)  # a start that says nothing
+    assert np.allclose(np.abs(found.T @ want[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+
+
+def test_pairs_of_blocks_meet_once(spark):
+    k = np.random.default_rng(3).normal(size=(50, 50))
+    k, v = k + k.T, np.arange(100.0).reshape(50, 2)
+
+    def some(out, i, j, spare):
+        out[i] += k[i, j] @ v[j]
+        if i != j:
+            out[j] += k[i, j].T @ v[i]
+
+    assert np.allclose(decomposition.by_pairs(spark, 50, 2, some, tile=7), k @ v)
+
+
 @pytest.mark.parametrize("name", ["kpca_fit", "tsne_fit", "umap_fit"])
 def test_embedding_queries_take_more_than_5000_rows(spark, tmp_path, name):
     rows = spark.range(5_003).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> cast(sin(id * i) as float)) AS embedding", "cast(id % 3 as int) AS label")
