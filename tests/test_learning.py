@@ -324,6 +324,20 @@ def test_embeddings_by_blocks_are_those_of_whole_matrices(spark):
     assert np.allclose(embedded(10), embedded(90), rtol=1e-6, atol=1e-8)
 
 
+def test_tsne_gradient_by_blocks_in_one_pass_and_with_the_floor(spark, monkeypatch):
+    rng, passes = np.random.default_rng(8), []
+    x = rng.normal(size=(60, 6))
+    by_pairs = decomposition.by_pairs
+    monkeypatch.setattr(decomposition, "by_pairs", lambda *a, **k: (passes.append(1), by_pairs(*a, **k))[1])
+    dense, blocks = decomposition._gradient(x, 9.0), decomposition._gradient_by_blocks(spark, x, 9.0)
+    for spread, most in ((1.0, 1), (1e6, 2)):
+        y = rng.normal(size=(60, 2)) * spread
+        y[:30] /= spread
+        passes.clear()
+        assert np.allclose(blocks(y, 0.25), dense(y, 0.25), rtol=1e-7, atol=1e-10)
+        assert len(passes) == most
+
+
 def test_leading_eigenvectors():
     m = np.random.default_rng(5).normal(size=(60, 60))
     m = m + m.T
