@@ -1,3 +1,4 @@
+import inspect
 import itertools
 
 import numpy as np
@@ -324,6 +325,20 @@ def test_embeddings_by_blocks_are_those_of_whole_matrices(spark):
     assert np.allclose(embedded(10), embedded(90), rtol=1e-6, atol=1e-8)
 
 
+def test_tsne_query_runs_every_epoch(spark, monkeypatch):
+    asked = {}
+    whole = decomposition.tsne
+
+    def told(x, **options):
+        asked.update(inspect.signature(whole).bind(x, **options).arguments)
+        return np.zeros((len(x), 2))
+
+    monkeypatch.setattr(decomposition, "tsne", told)
+    QUERIES["tsne_fit"](spark, "/root/testdata/sf0.001")
+    default = lambda name: inspect.signature(whole).parameters[name].default
+    assert default("epochs") == 1_000 and all(asked.get(k, default(k)) == default(k) for k in ("epochs", "perplexity", "rate", "initial_dims"))
+
+
 def test_tsne_gradient_by_blocks_in_one_pass_and_with_the_floor(spark, monkeypatch):
     rng, passes = np.random.default_rng(8), []
     x = rng.normal(size=(60, 6))
