@@ -316,6 +316,19 @@ def test_smo_by_rows_of_the_gram_matrix():
     assert svm.Svm().max_rows is None
 
 
+def test_gram_rows_asked_together_and_one_store_of_support_vectors(spark):
+    x = np.random.default_rng(2).normal(size=(60, 5))
+    rows = svm.GramRows("gaussian", x, sigma=1.0)
+    rows.ask(np.arange(7, 20))
+    assert list(rows.kept) == list(range(7, 20))
+    assert np.allclose([rows.kept[i] for i in range(7, 20)], regression.kernel_values("gaussian", x[7:20], x, sigma=1.0))
+    df = frame(spark, sampling.blobs(60, 3, 2, 0.5, seed=6))
+    model = svm.Svm(parameters={"sigma": 1.0}, c=10.0, sweeps=5).fit(df, "id", "features", "label")
+    points = np.array([r[0] for r in df.orderBy("id").select("features").collect()])
+    want = [regression.kernel_values("gaussian", points, points[used], sigma=1.0) @ at + b for _, b, at, used in model.problems]
+    assert np.allclose(model.decide(points), np.stack(want, 1)) and len(model.vectors) <= len(points)
+
+
 def test_embeddings_by_blocks_are_those_of_whole_matrices(spark):
     df = frame(spark, sampling.blobs(90, 3, 5, 0.3, seed=6))
     told = lambda found: np.array([r.y for r in found.orderBy("id").collect()])
